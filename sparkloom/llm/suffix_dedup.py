@@ -37,7 +37,7 @@ from sparkloom.llm.common import (
 
 CHUNK = 1 << 17
 #: Bytes of text whose entries a map task merges before it sends them.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 NO_ID = (1 << 63) - 1
 U = np.uint64
 
@@ -75,7 +75,7 @@ def windows_by_anchor(raw: np.ndarray, off: np.ndarray, depth: int, gram: int) -
         sums = np.zeros(len(part) + 1, U)
         np.cumsum(words * up[: len(part)], out=sums[1:])
         context = mix64((sums[e + depth] - sums[s]) * down[s] + (e - s).astype(U) * U(0x94D049BB133111EB))
-        yield grams[g], context, s + a, e + a, g + a
+        yield mix64(grams[g] + U(1)), context, s + a, e + a, g + a  # scrambled anew: anchors have small hashes
 
 
 def _pack(x: np.ndarray, kind) -> bytes:

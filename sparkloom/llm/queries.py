@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.fingerprints import edited_fingerprints
+from sparkloom.llm.pii import personal_data
 from sparkloom.llm.sharding import assign_shards
 from sparkloom.llm.simhash import near_duplicates
 from sparkloom.llm.suffix_dedup import remove_repeats
@@ -37,8 +38,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(documents(spark, sf_dir).select("doc_id", "text"), masked=False)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_fingerprints, op3_sharding, op4_simhash)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_fingerprints, op3_sharding, op4_simhash, op6_pii)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -77,7 +77,8 @@ def features(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         part = shape[a : a + CHUNK + 2].astype(U)
         at = (gram_hash(part + U(1), 3) * U(0x9E3779B97F4A7C15) >> U(40)).astype(np.int64) % SHAPES
         own = np.repeat(np.arange(n), np.clip(np.minimum(off[1:], a + len(at)) - np.maximum(off[:-1], a), 0, None))
-        counts += np.bincount(own * SHAPES + at, minlength=n * SHAPES)
+        inside = np.arange(a, a + len(at)) < off[own + 1] - 2
+        counts += np.bincount((own * SHAPES + at)[inside], minlength=n * SHAPES)
     out[:, WORDS : WORDS + SHAPES] = counts.reshape(n, SHAPES)
     out = np.log1p(out)
     total = np.maximum(np.bincount(of, minlength=n), 1)

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.llm import licenses, quality
 from sparkloom.llm.decontaminate import Leaks
 from sparkloom.llm.fingerprints import edited_fingerprints
 from sparkloom.llm.pii import personal_data
-from sparkloom.llm import quality
 from sparkloom.llm.sharding import assign_shards
 from sparkloom.llm.simhash import near_duplicates
 from sparkloom.llm.suffix_dedup import remove_repeats
@@ -55,9 +55,13 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Leaks(spark.read.parquet(f"{sf_dir}/benchmark.parquet")).hits(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_fingerprints, op3_sharding, op4_simhash, op5_quality, op6_pii, op8_decontaminate)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_fingerprints, op3_sharding, op4_simhash, op5_quality, op6_pii, op8_decontaminate, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_licenses": licenses.oracle()}

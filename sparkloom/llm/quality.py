@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -180,6 +181,20 @@ def scores(documents: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> Da
     return picked.mapInArrow(scan, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", score double")
 
 
+def accepted(documents: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The documents, all columns, whose score is the threshold or more."""
+    spark = documents.sparkSession
+    small_batches(spark, 500)
+    shared = spark.sparkContext.broadcast(model)
+
+    def scan(batches):
+        for batch in batches:
+            raw, off = utf8_parts(pc.fill_null(batch.column("text"), ""))
+            yield batch.filter(pa.array(shared.value.score(features(raw, off)) >= threshold))
+
+    return documents.mapInArrow(scan, documents.schema)
+
+
 def held_out(key: str = "doc_id", folds: int = 5):
     """Whether crc32 of the doc_id, as text, leaves no remainder; a null doc_id is never held out."""
     return F.coalesce(F.crc32(F.col(key).cast("long").cast("string").cast("binary")) % folds == 0, F.lit(False))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import licenses, mixing, quality
+from sparkloom.llm import hmm, licenses, mixing, quality
 from sparkloom.llm.decontaminate import Leaks
 from sparkloom.llm.fingerprints import edited_fingerprints
 from sparkloom.llm.pii import personal_data
@@ -59,12 +59,18 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Leaks(spark.read.parquet(f"{sf_dir}/benchmark.parquet")).hits(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op9_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = hmm.held_out()
+    found = hmm.score(documents(spark, sf_dir).select("doc_id", "text"), ~held)
+    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(documents(spark, sf_dir).select("doc_id", "text"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_fingerprints, op3_sharding, op4_simhash, op5_quality, op6_pii, op7_mixing, op8_decontaminate, op10_licenses)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_fingerprints, op3_sharding, op4_simhash, op5_quality, op6_pii, op7_mixing, op8_decontaminate, op9_hmm, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import Scratch, run_starts, small_batches, text_or_empty
@@ -168,3 +168,14 @@ def near_duplicates(documents: DataFrame, shingle: int = 4, distance: int = 4) -
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = scratch.table(named.join(smallest, "root").select("fp", "component_id"), "classes")
     return rows.join(by_print, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(documents: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
+    """The documents, all columns, that are the smallest of their group of near-duplicates. Rows of one doc_id are one
+    document: the first by text stays. Rows without a doc_id are known by their text, and come before all others."""
+    own = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseOR(F.lit(-(1 << 63))))
+    keyed = documents.withColumn("__id", own)
+    found = near_duplicates(keyed.select(F.col("__id").alias("doc_id"), "text"), shingle, distance)
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    first = F.row_number().over(Window.partitionBy("__id").orderBy("text"))
+    return keyed.join(stay, "__id", "left_semi").withColumn("__row", first).where("__row = 1").select(*documents.columns)

@@ -1,65 +1,14 @@
-"""The registry of named queries, each with the SQL that it must equal."""
+"""All named queries: importing the modules enters them into the registry."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from sparkloom.plans import document_queries, relational_queries, search_queries, stream_queries  # noqa: F401
+from sparkloom.plans.registry import ENTRIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from sparkloom.session import read_table
-
-
-@dataclass(frozen=True)
-class Entry:
-    run: Callable[[SparkSession, str], DataFrame]
-    oracle: str | None
-
-
-_ENTRIES: dict[str, Entry] = {}
-
-
-def register(oracle: str | None = None, name: str | None = None):
-    """Decorator: enters a query under its function's name."""
-
-    def put(f):
-        key = name or f.__name__
-        if key in _ENTRIES:
-            raise ValueError(f"query {key} is registered twice")
-        _ENTRIES[key] = Entry(f, oracle)
-        return f
-
-    return put
-
-
-@register(
-    """SELECT c.c_custkey, count(o.o_orderkey) AS total_orders, coalesce(round(sum(o.o_totalprice), 2), 0) AS total_amount,
-       coalesce(round(avg(o.o_totalprice), 2), 0) AS average_amount, max(o.o_orderdate) AS last_order
-       FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey"""
-)
-def customer_order_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = read_table(spark, sf_dir, "customer").select("c_custkey")
-    orders = read_table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
-    # aggregated below the join: customers without orders are added after, so the large side shuffles sums only
-    sums = orders.groupBy("o_custkey").agg(
-        F.count("o_orderkey").alias("n"),
-        F.sum("o_totalprice").alias("amount"),
-        F.avg("o_totalprice").alias("mean"),
-        F.max("o_orderdate").alias("last_order"),
-    )
-    return customer.join(sums, F.col("c_custkey") == F.col("o_custkey"), "left").select(
-        "c_custkey",
-        F.coalesce("n", F.lit(0)).alias("total_orders"),
-        F.coalesce(F.round("amount", 2), F.lit(0.0)).alias("total_amount"),
-        F.coalesce(F.round("mean", 2), F.lit(0.0)).alias("average_amount"),
-        "last_order",
-    )
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v.run for k, v in _ENTRIES.items()}
+def queries() -> dict[str, Query]:
+    return {k: v.run for k, v in ENTRIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v.oracle for k, v in _ENTRIES.items() if v.oracle}
+    return {k: v.oracle for k, v in ENTRIES.items() if v.oracle}

@@ -13,7 +13,7 @@ import numpy as np
 from sparkloom.llm.common import BASE, gram_hash, mix64, random_words, sliding_min
 
 U = np.uint64
-PAD = 0x110000
+PAD = np.uint8(3)
 
 
 def walk_starts(codes: np.ndarray, off: np.ndarray, gram: int, spacing: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,7 +41,7 @@ class Walks:
 
     def __init__(self, steps: int = 64, bands: int = 3, sample: int = 12, seed: int = 11):
         words = random_words(seed, steps * 256).reshape(steps, 256)
-        self.move = (words >> U(17) & U(1)).astype(np.int32)
+        self.move = (words >> U(17) & U(1)).astype(np.int64)
         order = np.argsort(random_words(seed + 1, bands * steps).reshape(bands, steps), axis=1)[:, :sample]
         self.in_band = np.zeros((steps, bands), bool)
         for b in range(bands):
@@ -49,26 +49,35 @@ class Walks:
         self.steps, self.bands = steps, bands
 
     def keys(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The band words of the walks that begin at starts, a column for each band."""
+        """The band words of the walks that begin at starts, a column for each band. A walk sees the low eight bits of a
+        character, and a pad beyond the end."""
         out = np.empty((len(starts), self.bands), U)
-        padded = np.append(codes, codes.dtype.type(0))
-        for a in range(0, len(starts), 1 << 15):
-            at, end = starts[a : a + (1 << 15)].astype(np.int32), ends[a : a + (1 << 15)].astype(np.int32)
-            words = [np.full(len(at), b + 1, U) for b in range(self.bands)]
-            margin = bool((at + self.steps > end).any())
-            for j in range(self.steps):
-                c = padded[at]
-                if margin:
-                    c = np.where(at < end, c, PAD)
-                for b in np.flatnonzero(self.in_band[j]):
-                    words[b] *= U(BASE)
-                    words[b] += c
-                move = self.move[j][c & 255]
-                at = np.minimum(at + move, end) if margin else at + move
-            for b in range(self.bands):
-                out[a : a + len(at), b] = mix64(words[b])
+        low = codes.astype(np.uint8)
+        inside = starts + self.steps <= ends
+        for near_end in (False, True):
+            chosen = np.flatnonzero(inside != near_end)
+            for a in range(0, len(chosen), 1 << 15):
+                part = chosen[a : a + (1 << 15)]
+                out[part] = self._walk(low, starts[part], ends[part], near_end)
         return out
 
+    def _walk(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, near_end: bool) -> np.ndarray:
+        at = starts.astype(np.int64)
+        words = np.empty((self.bands, len(at)), U)
+        words[:] = np.arange(1, self.bands + 1, dtype=U)[:, None]
+        for j in range(self.steps):
+            if near_end:
+                c = np.where(at < ends, low.take(at, mode="clip"), PAD)
+            else:
+                c = low.take(at)
+            for b in np.flatnonzero(self.in_band[j]):
+                words[b] *= U(BASE)
+                words[b] += c
+            at += self.move[j].take(c)
+            if near_end:
+                np.minimum(at, ends, out=at)
+        return mix64(words).T
+
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     off = np.zeros(len(texts) + 1, np.int64)

@@ -71,6 +71,11 @@ def least_edits(pattern: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def gram_classes(codes: np.ndarray) -> np.ndarray:
+    low = codes.astype(np.int64) & 31
+    return np.bincount((low[:-2] * 32 + low[1:-1]) % 64 * 32 + low[2:], minlength=2048) if len(codes) > 2 else np.zeros(2048, np.int64)
+
+
 class Items:
     """Folded items, and a table of their band words; fits in one broadcast."""
 
@@ -88,6 +93,7 @@ class Items:
         keys = walks.keys(codes, starts, off[of + 1]) if len(starts) else np.zeros((0, walks.bands), U)
         self.keys, band_of = [], []
         place = starts - off[of] - np.array(self.lead, np.int64)[of] if len(of) else starts
+        self.grams = [gram_classes(c) for c in self.codes]
         self.maps, self.seen = [], []
         for b in range(walks.bands):
             order = np.argsort(keys[:, b], kind="stable")
@@ -134,13 +140,17 @@ class Items:
             begin = stop
         return sorted(out)
 
+    def _common_grams(self, item: int, window: np.ndarray) -> int:
+        """Trigrams, as a multiset in hashed classes, that the item and the window have in common at most."""
+        return int(np.minimum(self.grams[item], gram_classes(window)).sum())
+
     def _verify(self, codes, off, row: int, item: int, a: int, b: int) -> set[tuple]:
         """All places of the item between a and b that don't overlap, nearest first."""
         a, b = max(a, int(off[row])), min(b, int(off[row + 1]))
         pattern = self.codes[item]
         most = int(self.rate * len(pattern))
-        if b - a < len(pattern) - most:
-            return set()
+        if b - a < len(pattern) - most or self._common_grams(item, codes[a:b]) < len(pattern) - 2 - 3 * most:
+            return set()  # an edit changes three trigrams at most
         distance, end = least_edits(pattern, codes[a:b])
         if distance > most:
             return set()
@@ -156,7 +166,7 @@ class Leaks:
 
     def __init__(self, benchmark: DataFrame, likeness: float = 0.8, least_words: int = 5, votes: int = 2, block_bytes: int = 16 << 20, seed: int = 23):
         spark = benchmark.sparkSession
-        self.votes, walks = votes, Walks(40, 4, 9, seed)
+        self.votes, walks = votes, Walks(40, 4, 16, seed)
         items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).where("text is not null").distinct()
         total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         blocks = max(1, -(-total // block_bytes))

@@ -68,7 +68,7 @@ register_sql(
 register_sql(
     "scalar_numbers",
     """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_quantity,
-    round(l_extendedprice * (1 - l_discount), 3) AS net, abs(l_discount - l_tax) AS gap, CAST(ceil(l_quantity / 7) AS BIGINT) AS sevens,
+    l_extendedprice * (1 - l_discount) AS net, abs(l_discount - l_tax) AS gap, CAST(ceil(l_quantity / 7) AS BIGINT) AS sevens,
     CAST(floor(sqrt(l_quantity)) AS BIGINT) AS root, greatest(l_discount, l_tax) AS most, least(l_discount, l_tax) AS least,
     coalesce(nullif(l_discount, 0), -1) AS discount, CAST(l_quantity AS BIGINT) % 5 AS rest FROM lineitem""",
 )

@@ -255,20 +255,22 @@ def for_transport(text: str | None) -> str | None:
     return "".join(out)
 
 
-@F.pandas_udf("string")
-def transport_safe(text):
-    return text.map(for_transport)
-
-
-@F.pandas_udf("string")
-def prompt_clean(text):
+def clean_prompt(text: str | None) -> str | None:
     """Compatible characters, straight quotes, Latin-1 only, single spaces."""
+    if text is None:
+        return None
     quotes = {0x2018: "'", 0x2019: "'", 0x201C: '"', 0x201D: '"', 0x2013: "-", 0x2014: "-"}
+    plain = unicodedata.normalize("NFKD", text.translate(quotes))
+    return " ".join("".join(c for c in plain if ord(c) <= 0xFF).split())
+
+
+def _mapped(f, text: Column) -> Column:
+    return F.pandas_udf(lambda values: values.map(f), "string")(text)
+
+
+def transport_safe(text: Column) -> Column:
+    return _mapped(for_transport, text)
 
-    def one(t):
-        if t is None:
-            return None
-        t = unicodedata.normalize("NFKD", t.translate(quotes))
-        return " ".join("".join(c for c in t if ord(c) <= 0xFF).split())
 
-    return text.map(one)
+def prompt_clean(text: Column) -> Column:
+    return _mapped(clean_prompt, text)

@@ -1 +1,94 @@
-"""Queries."""
+"""Upload validation, change streams and event windows; each stream's final state is what the batch SQL gives."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkloom.plans.registry import register
+from sparkloom.session import read_table
+from sparkloom.streaming import cdc, events
+
+_UPLOADS = """(SELECT 'UPLOAD_' || (p_partkey % 25) AS upload_id, 'VEND' || (p_partkey % 5) AS vendor_id, p_partkey AS row_number, CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_name END AS product_name, p_brand AS category,
+    CASE WHEN p_partkey % 17 = 0 THEN '' ELSE 'SKU' || (p_partkey // 2 * 2) END AS sku, CASE WHEN p_partkey % 11 = 0 THEN -1.0 WHEN p_partkey % 19 = 0 THEN 0.0 ELSE p_retailprice END AS price,
+    CASE WHEN p_partkey % 23 = 0 THEN -5 ELSE p_size END AS stock_quantity FROM part)"""
+
+
+def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product uploads made of parts, with faults in them. Neighbours share a SKU, but not an upload."""
+    k = F.col("p_partkey")
+    return read_table(spark, sf_dir, "part").select(
+        F.concat(F.lit("UPLOAD_"), k % 25).alias("upload_id"), F.concat(F.lit("VEND"), k % 5).alias("vendor_id"), F.format_string("REC_%05d", k).alias("record_id"), k.alias("row_number"),
+        F.concat(F.lit("VP"), k).alias("vendor_product_id"), F.when(k % 13 != 0, F.col("p_name")).alias("product_name"), F.col("p_brand").alias("category"), F.lit("").alias("description"), F.col("p_brand").alias("brand"),
+        F.when(k % 17 == 0, "").otherwise(F.concat(F.lit("SKU"), (F.floor(k / 2) * 2).cast("string"))).alias("sku"),
+        F.when(k % 11 == 0, -1.0).when(k % 19 == 0, 0.0).otherwise(F.col("p_retailprice")).alias("price"), F.when(k % 23 == 0, -5).otherwise(F.col("p_size")).alias("stock_quantity"),
+    )
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = read_table(spark, sf_dir, "part")
+    categories = part.select(F.col("p_brand").alias("category_name"), (F.col("p_brand") != "Brand#1").alias("is_active")).distinct()
+    taken = part.where("p_partkey % 29 = 0").select(F.concat(F.lit("SKU"), (F.floor(F.col("p_partkey") / 2) * 2).cast("string")).alias("sku"), F.lit("none").alias("vendor_id"), F.lit("none").alias("vendor_product_id"))
+    return cdc.validated(_uploads(spark, sf_dir), categories, taken)
+
+
+_JUDGED = f"""(WITH u AS (SELECT * FROM {_UPLOADS}), taken AS (SELECT DISTINCT 'SKU' || (p_partkey // 2 * 2) AS sku FROM part WHERE p_partkey % 29 = 0)
+    SELECT upload_id, vendor_id, row_number, CASE WHEN coalesce(product_name, '') = '' OR sku = '' OR price = 0 OR stock_quantity = 0 THEN 'MISSING_REQUIRED_FIELDS' WHEN price < 0.01 THEN 'INVALID_PRICE' WHEN stock_quantity < 0 THEN 'INVALID_STOCK'
+    WHEN category = 'Brand#1' THEN 'INVALID_CATEGORY' WHEN sku IN (SELECT sku FROM taken) THEN 'DUPLICATE_SKU' END AS error_type FROM u)"""
+
+
+@register(f"SELECT upload_id, vendor_id, row_number, CASE WHEN error_type IS NULL THEN 'validated' ELSE 'error' END AS status, error_type FROM {_JUDGED}")
+def validated_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).select("upload_id", "vendor_id", "row_number", "status", "error_type")
+
+
+@register(f"SELECT upload_id, count(*) AS total_records, sum(CASE WHEN error_type IS NULL THEN 1 ELSE 0 END)::BIGINT AS valid_records, sum(CASE WHEN error_type IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS error_records, CASE WHEN sum(CASE WHEN error_type IS NOT NULL THEN 1 ELSE 0 END) = 0 THEN 'completed' ELSE 'completed_with_errors' END AS status FROM {_JUDGED} GROUP BY 1")
+def upload_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = _uploads(spark, sf_dir).groupBy("upload_id").agg(F.count("*").alias("total_records"))
+    return cdc.upload_summary(_judged(spark, sf_dir), history).select("upload_id", "total_records", "valid_records", "error_records", "status")
+
+
+@register(f"SELECT upload_id, count(*) AS n, min(row_number) AS first_row FROM {_JUDGED} WHERE error_type IS NOT NULL GROUP BY 1")
+def errors_by_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cdc.grouped_errors(_judged(spark, sf_dir).where("status = 'error'"))
+    return found.select("upload_id", F.size("errors").cast("long").alias("n"), F.element_at("errors", 1)["row_number"].alias("first_row"))
+
+
+@register(
+    """WITH e AS (SELECT *, lag(event_type) OVER w AS t0, lag(value) OVER w AS v0 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+    SELECT event_id, CASE WHEN t0 <> event_type THEN 'event_type' END AS changed FROM e WHERE t0 IS NOT NULL"""
+)
+def change_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The difference between a user's consecutive events, as old and new images of two fields of which one is not compared."""
+    from pyspark.sql import Window  # noqa: PLC0415
+
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    image = F.create_map(F.lit("event_type"), F.col("event_type"), F.lit("user"), F.col("user_id").cast("string"))
+    rows = read_table(spark, sf_dir, "events").select("event_id", image.alias("new"), F.lag(image).over(order).alias("old")).where("old is not null")
+    return rows.select("event_id", F.get(F.map_keys(cdc.changes(F.col("old"), F.col("new"))), F.lit(0)).alias("changed"))
+
+
+@register("SELECT CAST(time_bucket(INTERVAL 1 HOUR, ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n, sum(CAST(value AS DECIMAL(18,6)))::DOUBLE AS total FROM events GROUP BY 1, 2")
+def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = events.run_to_table(events.tumbling(events.event_stream(spark, sf_dir)), ["window_start", "event_type"])
+    return done.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@register("SELECT s + INTERVAL 6 HOUR * k AS window_start, count(*) AS n FROM (SELECT CAST(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2000-01-01') AS TIMESTAMP) - INTERVAL 18 HOUR AS s FROM events), range(0, 4) r(k) GROUP BY 1")
+def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = events.run_to_table(events.sliding(events.event_stream(spark, sf_dir)), ["window_start"])
+    return done.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@register("SELECT DISTINCT event_id FROM events")
+def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    once = events.first_of_each(events.event_stream(spark, sf_dir), ["event_id"]).select("event_id")
+    return events.run_to_table(once, [], "append")
+
+
+@register(
+    """WITH o AS (SELECT user_id, event_id, floor(epoch(ts))::BIGINT AS s FROM events), m AS (SELECT *, CASE WHEN s - lag(s) OVER w > 3600 OR lag(s) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM o WINDOW w AS (PARTITION BY user_id ORDER BY s, event_id)),
+    g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY s, event_id)::BIGINT AS session FROM m) SELECT user_id, session, count(*) AS n, min(s) AS begin, max(s) AS "end" FROM g GROUP BY 1, 2"""
+)
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.sessions(read_table(spark, sf_dir, "events").select("user_id", "event_id", "ts"))

@@ -52,7 +52,8 @@ def rag_triad(a: Column, b: Column, c: Column) -> Column:
 
 def judge_score(raw: Column) -> Column:
     """A number between 0 and 1 from a judge's text; 0 if it can't be read."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw.try_cast("double"))), F.lit(0.0))
+    number = raw.try_cast("double")
+    return F.when(number.isNotNull() & ~F.isnan(number), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number))).otherwise(0.0)
 
 
 def averages(rows: DataFrame, names: list[str]) -> DataFrame:

@@ -1,19 +1,22 @@
 """Mixing documents to target token weights by soft membership; DataFrame operations only.
 
-A classifier learned from the labelled table gives each document a posterior over the domains good, plain and toxic:
-hashed word endings that are far commoner in plain or toxic texts than in good ones are evidence, summed over the whole text;
-the sums are binned, and a bin's posterior is the share of each domain among the labelled documents in it. Each document
-then gets a rate, the expected number of copies. Rates are nonnegative, and nearest to 1 such that the expected tokens of
-each domain, sums of rate x tokens x posterior, meet the targets: least squares by projected gradient steps, each
-scaled by the normal matrix of the documents that are still free. A rate is a function of the posterior and the steps so
-far, so a step is one aggregation over all documents and nothing is kept for each document between steps.
+A classifier learned from the labelled table gives each document a posterior over the domains good, plain and toxic. Its
+features are the distinct words of the whole text (without signs at the end; of words that end in other signs, these),
+and whether few kinds of words fill it. Features that a good share of plain or of toxic documents has, and good ones
+rarely, are evidence; the sums of their log odds are binned, and a bin's posterior is the share of each domain among the
+labelled documents in it.
+
+Each document then gets a rate, the expected number of copies. Rates are nonnegative, start at 1, and take projected
+gradient steps that lower the squared miss of the expected tokens of each domain (sums of rate x tokens x posterior)
+from the targets, measured in the norm in which a full step is safe. A rate is a function of the posterior and the steps so
+far, so a step is one aggregation over all documents, and nothing is kept for each document between steps.
 
 The evidence is learned from at most ``max_labelled`` labelled documents (those with the smallest hash of their id), the
 posteriors from all labelled ones, totals and rates from all documents.
 
 Defined results: null texts count as empty and have no tokens; without any label all domains are equally likely; rows with
 a null label or doc_id teach nothing; of several labels of one doc_id the worst counts; repeated rows get rates of their
-own; an empty table gives no rows.
+own; an empty table gives no rows. Targets that no rates meet are met as nearly as they can be.
 """
 
 from __future__ import annotations
@@ -28,9 +31,12 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import Scratch, text_or_empty
 
 DOMAINS = ("good", "plain", "toxic")
-BUCKETS, ENDING, BINS, BIN_WIDTH = 8192, 4, 6, 2.0
-#: Evidence: an ending this much likelier (log), seen this often.
-STRONG, LEAST_SEEN = 1.2, 12
+BINS, BIN_WIDTH = 6, 2.0
+#: Evidence: a feature of at least this share of a domain's documents that is this much likelier (log) than in good ones.
+LEAST_SHARE, STRONG = 0.02, 4.5
+#: Signs that make the end of a word a feature of its own, and ends that are no part of a word.
+SIGNS, STOPS = "%&*#$!|~^=<>_@+/\\", ".,;:?"
+FEW_KINDS = "\x01few kinds of words"
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
@@ -44,41 +50,53 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
-def buckets_of(words: Column) -> Column:
-    return F.transform(words, lambda w: (F.pmod(F.xxhash64(F.right(w, F.lit(ENDING))), F.lit(BUCKETS)) + 1).cast("int"))
+def features_of(words: Column) -> Column:
+    """The distinct features of a text's words."""
+    end = lambda w: F.right(w, F.lit(1))
+    feature = lambda w: F.when(F.contains(F.lit(SIGNS), end(w)), F.right(w, F.lit(2))).otherwise(F.rtrim(F.lower(w), F.lit(STOPS)))
+    kinds = F.array_distinct(F.transform(words, feature))
+    few = (F.size(kinds) * 4 < F.size(words)) & (F.size(words) >= 20)
+    return F.when(few, F.array_append(kinds, F.lit(FEW_KINDS))).otherwise(kinds)
 
 
 @dataclass(frozen=True)
 class Evidence:
-    """For plain and toxic, the weight of each bucket of endings."""
+    """For plain and toxic, the features that speak for it and their weights."""
 
-    weights: tuple[tuple[float, ...], tuple[float, ...]]
+    weights: tuple[dict[str, float], dict[str, float]]
 
     def columns(self, documents: DataFrame) -> DataFrame:
         """documents with __tokens and the two sums of evidence."""
-        buckets = buckets_of(words_of(text_or_empty()))
-        sums = [_sum_of("__buckets", w) for w in self.weights]
-        known = documents.withColumn("__buckets", buckets).withColumn("__tokens", F.size("__buckets").cast("long"))
-        return known.withColumns({"__plain": sums[0], "__toxic": sums[1]}).drop("__buckets")
+        known = documents.withColumn("__words", words_of(text_or_empty()))
+        known = known.withColumn("__tokens", F.size("__words").cast("long")).withColumn("__features", features_of(F.col("__words")))
+        sums = [_sum_of("__features", w) for w in self.weights]
+        return known.withColumns({"__plain": sums[0], "__toxic": sums[1]}).drop("__words", "__features")
 
 
-def _sum_of(buckets: str, weights: tuple[float, ...]) -> Column:
-    table = F.from_json(F.lit(json.dumps(weights)), "array<double>")  # folded to a constant
-    return F.aggregate(buckets, F.lit(0.0), lambda total, b: total + F.element_at(table, b))
+def _sum_of(features: str, weights: dict[str, float]) -> Column:
+    if not weights:
+        return F.lit(0.0)
+    names = sorted(weights)
+    listed = F.from_json(F.lit(json.dumps(names)), "array<string>")  # constants once planned
+    values = F.from_json(F.lit(json.dumps([weights[n] for n in names])), "array<double>")
+    hits = F.array_intersect(F.col(features), listed)
+    return F.aggregate(hits, F.lit(0.0), lambda total, f: total + F.element_at(values, F.array_position(listed, f).cast("int")))
 
 
 def learn(documents: DataFrame, labels: DataFrame, max_labelled: int = 8000) -> Evidence:
     sample = domain_of(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     taught = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id")
-    counts = taught.select("domain", F.explode(buckets_of(words_of(F.col("text")))).alias("bucket")).groupBy("domain", "bucket").count()
-    seen = [[0] * (BUCKETS + 1) for _ in DOMAINS]
-    for r in counts.collect():  # at most domains x buckets
-        seen[r["domain"]][r["bucket"]] = r["count"]
-    totals = [sum(s) + BUCKETS for s in seen]
-    weights = []
+    known = taught.select("domain", features_of(words_of(F.col("text"))).alias("features"))
+    total = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
+    sizes = [total.get(k, 0) for k in range(len(DOMAINS))]
+    each = [F.count_if(F.col("domain") == k) for k in range(len(DOMAINS))]
+    counts = known.select("domain", F.explode("features").alias("feature")).groupBy("feature").agg(*[c.alias(f"n{k}") for k, c in enumerate(each)])
+    weights: list[dict[str, float]] = []
     for k in (1, 2):
-        rise = [math.log((seen[k][b] + 1) / totals[k]) - math.log((seen[0][b] + 1) / totals[0]) for b in range(1, BUCKETS + 1)]
-        weights.append(tuple(round(x, 4) if x > STRONG and seen[k][b + 1] >= LEAST_SEEN else 0.0 for b, x in enumerate(rise)))
+        share, base = F.col(f"n{k}") / max(1, sizes[k]), (F.col("n0") + 0.5) / (sizes[0] + 1)
+        # a document has few features, so few features are in a fixed share of the documents
+        strong = counts.where((share >= LEAST_SHARE) & (F.col(f"n{k}") >= 5) & (share > base * math.exp(STRONG)))
+        weights.append({r["feature"]: round(r["w"], 4) for r in strong.select("feature", F.log(share / base).alias("w")).collect()})
     return Evidence(tuple(weights))
 
 
@@ -121,34 +139,55 @@ def solve(matrix: list[list[float]], right: list[float]) -> list[float]:
 
 
 def rate_column(posterior: list[Column], steps: list[list[float]]) -> Column:
-    rate = F.lit(1.0)
-    for step in steps:
-        move = sum((p * s for p, s in zip(posterior, step, strict=True)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate + move)
-    return rate
-
-
-def fit_rates(scored: DataFrame, shares: dict[str, float], lead_epochs: float, most_steps: int = 20) -> list[list[float]]:
-    """Projected steps whose rates meet the targets. scored: tokens and p_<domain>. The first domain is read
-    ``lead_epochs`` times; the others up to their share beside it, and once at most."""
+    """The rate after the steps: moved along the posterior by each, and never under zero."""
+    if not steps:
+        return F.lit(1.0)
+    listed = F.from_json(F.lit(json.dumps(steps)), "array<array<double>>")
+    move = lambda step: sum((p * F.element_at(step, i + 1) for i, p in enumerate(posterior)), F.lit(0.0))
+    return F.aggregate(listed, F.lit(1.0), lambda rate, step: F.greatest(F.lit(0.0), rate + move(step)))
+
+
+def fit_rates(scored: DataFrame, shares: dict[str, float], lead_epochs: float, most_steps: int = 25) -> list[list[float]]:
+    """Projected steps towards the targets. scored: tokens and p_<domain>. The first domain is read ``lead_epochs`` times;
+    the others up to their share beside it, and once at most.
+
+    With M the sum of tokens x posterior x posterior', M^-1 (targets - now) is a gradient step of length one on the squared
+    miss in the norm of M^-1, whose gradient changes by no more than the rates do: it never raises the miss. First a longer
+    step is tried, with M over the documents whose rates aren't at zero; if it raises the miss, it is taken back."""
+    k = len(DOMAINS)
     posterior = [F.col(f"p_{d}") for d in DOMAINS]
-    pairs = [(i, j) for i in range(len(DOMAINS)) for j in range(i, len(DOMAINS))]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def measured(steps: list[list[float]]) -> tuple[list[float], list[list[float]]]:
+        rated = scored.withColumn("rate", rate_column(posterior, steps))
+        free = F.when(F.col("rate") > 0, F.col("tokens")).otherwise(0)
+        sums = [F.sum(F.col("rate") * F.col("tokens") * p).alias(f"t{i}") for i, p in enumerate(posterior)]
+        r = rated.agg(*sums, *[F.sum(free * posterior[i] * posterior[j]).alias(f"m{i}{j}") for i, j in pairs]).first()
+        return [float(r[f"t{i}"] or 0) for i in range(k)], [[float(r[f"m{min(i, j)}{max(i, j)}"] or 0) for j in range(k)] for i in range(k)]
+
+    now, normal = measured([])
+    budget = lead_epochs * now[0] / shares[DOMAINS[0]]
+    targets = [lead_epochs * now[0], *(min(x, shares[d] * budget) for x, d in zip(now[1:], DOMAINS[1:], strict=True))]
+    missing = lambda x: [t - y for t, y in zip(targets, x, strict=True)]
+    size_of = lambda miss: sum(a * b for a, b in zip(miss, solve(normal, miss), strict=True))
     steps: list[list[float]] = []
-    targets: list[float] = []
+    miss, size, free = missing(now), size_of(missing(now)), normal
     for _ in range(most_steps):
-        rate = rate_column(posterior, steps)
-        free = F.when(rate > 0, F.col("tokens")).otherwise(0)
-        sums = [F.sum(rate * F.col("tokens") * p) for p in posterior]
-        normal = [F.sum(free * posterior[i] * posterior[j]) for i, j in pairs]
-        got = [float(x or 0) for x in scored.agg(*[c.alias(f"c{i}") for i, c in enumerate(sums + normal)]).first()]
-        now, upper = got[: len(DOMAINS)], dict(zip(pairs, got[len(DOMAINS) :], strict=True))
-        if not targets:
-            budget = lead_epochs * now[0] / shares[DOMAINS[0]]
-            targets = [lead_epochs * now[0], *(min(x, shares[d] * budget) for x, d in zip(now[1:], DOMAINS[1:], strict=True))]
-        miss = [t - x for t, x in zip(targets, now, strict=True)]
-        if max(map(abs, miss)) <= 1e-7 * max(1.0, sum(targets)):
+        if max(map(abs, miss)) <= 1e-6 * max(1.0, sum(targets)):
+            break
+        for matrix in (free, normal):
+            step = solve(matrix, miss)
+            then, then_free = measured([*steps, step])
+            if size_of(missing(then)) < size:
+                break
+        else:
+            break  # no step helps: the targets are met as nearly as they can be
+        gained = size - size_of(missing(then))
+        steps.append(step)
+        miss, free = missing(then), then_free
+        if gained <= 1e-9 * size:
             break
-        steps.append(solve([[upper[min(i, j), max(i, j)] for j in range(len(DOMAINS))] for i in range(len(DOMAINS))], miss))
+        size -= gained
     return steps
 
 

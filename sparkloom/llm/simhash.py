@@ -4,7 +4,7 @@ Two fingerprints differ in at most 2r bits exactly if some word lies within r bi
 all words of its ball of radius r (2081 of 64 bits for r = 2), and equal words meet. Sending each word would move
 8 * 2081 bytes a document, so the emission is split in two: ``lead`` leading bits are varied before the shuffle (a
 fingerprint goes to 1 + lead + lead * (lead - 1) / 2 buckets), and the remaining flips of the radius are spent on the
-other bits within the bucket, a range of words at a time. Every word of every ball is still made exactly once.
+other bits within the bucket, which is split by its next bits where it holds too many words. Every word of every ball is still made exactly once.
 
 Words that meet link all their fingerprints, each pair of which is verified by its Hamming distance to the first; as a
 star is enough for the component, no pairs of a group are listed. Equal fingerprints are merged first.
@@ -15,8 +15,8 @@ texts get equal rows; a null doc_id is kept as a row and never names a component
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,8 @@ from sparkloom.llm.common import Scratch, run_starts, small_batches, text_or_emp
 from sparkloom.llm.graph import components
 
 U = np.uint64
-#: Words that a bucket holds at a time.
-STEP_WORDS = 1 << 21
+#: Words that a bucket holds at a time, and bits by which a larger one is split.
+STEP_WORDS, SPLIT_BITS = 1 << 21, 6
 
 
 def simhash(text: bytes, shingle: int = 4) -> int:
@@ -78,10 +78,8 @@ def masks(bits: range, most: int) -> list[int]:
 
 
 def ball_links(found: np.ndarray, bucket: int, lead: int, radius: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among the fingerprints sent to a bucket of leading bits: a forest that spans each group that meets."""
-    low = 64 - lead
-    spent = np.bitwise_count((found >> U(low)) ^ U(bucket)) if lead else np.zeros(len(found), np.uint8)
-    tails = found & U((1 << low) - 1)
+    """Links among the fingerprints sent to a bucket of leading bits: a forest that spans each group that meets. A bucket
+    with too many words is split by its next bits, which shares them out among its parts, each word in one."""
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -90,23 +88,29 @@ def ball_links(found: np.ndarray, bucket: int, lead: int, radius: int, distance:
             x = y
         return x
 
-    by_left = [(np.flatnonzero(spent == k), np.array(masks(range(low), radius - k), U)) for k in range(radius + 1)]
-    total = sum(len(o) * len(m) for o, m in by_left)
-    steps = max(1, -(-total // STEP_WORDS))
-    fold = 0x9E3779B97F4A7C15
     left, right = [], []
-    for step in range(steps):
+    todo = [(np.arange(len(found)), bucket, lead)]
+    while todo:
+        own, bucket, lead = todo.pop()
+        low = 64 - lead
+        spent = np.bitwise_count((found[own] >> U(low)) ^ U(bucket)) if lead else np.zeros(len(own), np.uint8)
+        if len(own) < 2:
+            continue
+        left_over = np.bincount(spent, minlength=radius + 1)[: radius + 1]
+        total = sum(int(n) * sum(comb(low, k) for k in range(radius - j + 1)) for j, n in enumerate(left_over))
+        if total > STEP_WORDS and low > SPLIT_BITS:
+            ahead = found[own] >> U(low - SPLIT_BITS)
+            for part in range(1 << SPLIT_BITS):
+                near = np.bitwise_count(ahead ^ U(bucket << SPLIT_BITS | part)) <= radius
+                todo.append((own[near], bucket << SPLIT_BITS | part, lead + SPLIT_BITS))
+            continue
+        tails = found[own] & U((1 << low) - 1)
         words, owners = [], []
-        for own, flips in by_left:
-            for x in range(0, len(own), max(1, STEP_WORDS // max(1, len(flips)))):
-                o = own[x : x + max(1, STEP_WORDS // max(1, len(flips)))]
-                w = (tails[o][:, None] ^ flips[None, :]).ravel()
-                of = np.repeat(o, len(flips))
-                if steps > 1:
-                    mine = ((w * U(fold)) >> U(33)) * U(steps) >> U(31) == U(step)
-                    w, of = w[mine], of[mine]
-                words.append(w)
-                owners.append(of)
+        for k in range(radius + 1):
+            o = np.flatnonzero(spent == k)
+            flips = np.array(masks(range(low), radius - k), U)
+            words.append((tails[o][:, None] ^ flips[None, :]).ravel())
+            owners.append(np.repeat(own[o], len(flips)))
         w, of = np.concatenate(words), np.concatenate(owners)
         order = np.argsort(w)
         w, of = w[order], of[order]

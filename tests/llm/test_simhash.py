@@ -73,6 +73,31 @@ def test_links_connect_what_is_near(spark, lead):
     assert len(near) > 20
 
 
+def test_large_buckets_are_split(monkeypatch):
+    r = random.Random(5)
+    centre = r.getrandbits(64)
+    fps = sorted({centre ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 9))) for _ in range(400)})
+    found = np.array(fps, np.uint64)
+
+    def groups(links):
+        at = {x: x for x in fps}
+
+        def find(x):
+            while at[x] != x:
+                x = at[x]
+            return x
+
+        for a, b in zip(*(x.view(np.uint64).tolist() for x in links), strict=True):
+            at[max(find(a), find(b))] = min(find(a), find(b))
+        return [find(x) for x in fps]
+
+    whole = groups(S.ball_links(found, 0, 0, 2, 4))
+    monkeypatch.setattr(S, "STEP_WORDS", 3000)
+    assert groups(S.ball_links(found, 0, 0, 2, 4)) == whole
+    near = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
+    assert len(near) > 50 and all(whole[i] == whole[j] for i, j in near)
+
+
 def test_chain_and_hub(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, x) for x in range(1000, 1200)] + [(7, 7)]
     got = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}

@@ -1,8 +1,8 @@
 """Mixing documents to target token weights by soft membership; DataFrame operations only.
 
 A classifier learned from the labelled table gives each document a posterior over the domains good, plain and toxic. Its
-features are the distinct words of the whole text (without signs at the end; of words that end in other signs, these),
-and whether few kinds of words fill it. Features that a good share of plain or of toxic documents has, and good ones
+features are the distinct lower-cased words of the whole text, the signs that come doubled in it or stand alone, and
+whether few kinds of words fill it. Features that a good share of plain or of toxic documents has, and good ones
 rarely, are evidence; the sums of their log odds are binned, and a bin's posterior is the share of each domain among the
 labelled documents in it.
 
@@ -34,8 +34,8 @@ DOMAINS = ("good", "plain", "toxic")
 BINS, BIN_WIDTH = 6, 2.0
 #: Evidence: a feature of at least this share of a domain's documents that is this much likelier (log) than in good ones.
 LEAST_SHARE, STRONG = 0.02, 4.5
-#: Signs that make the end of a word a feature of its own, and ends that are no part of a word.
-SIGNS, STOPS = "%&*#$!|~^=<>_@+/\\", ".,;:?"
+#: What ends a word, and signs that are features where they come doubled.
+BETWEEN, SIGNS = r"[\x20\x09-\x0D.,;:?]+", "%&*#$!|~^=<>_@+/-"
 FEW_KINDS = "\x01few kinds of words"
 
 
@@ -47,16 +47,14 @@ def domain_of(labels: DataFrame) -> DataFrame:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    """Lower-cased words; they are counted as the text's tokens. One pass of a pattern, no function for each word."""
+    return F.array_remove(F.split(F.lower(text), BETWEEN), "")
 
 
-def features_of(words: Column) -> Column:
-    """The distinct features of a text's words."""
-    end = lambda w: F.right(w, F.lit(1))
-    feature = lambda w: F.when(F.contains(F.lit(SIGNS), end(w)), F.right(w, F.lit(2))).otherwise(F.rtrim(F.lower(w), F.lit(STOPS)))
-    kinds = F.array_distinct(F.transform(words, feature))
-    few = (F.size(kinds) * 4 < F.size(words)) & (F.size(words) >= 20)
-    return F.when(few, F.array_append(kinds, F.lit(FEW_KINDS))).otherwise(kinds)
+def marks_of(text: Column, words: Column) -> Column:
+    """Features that are no words: doubled signs, and few kinds of words (under a quarter, of twenty or more)."""
+    few = (F.size(F.array_distinct(words)) * 4 < F.size(words)) & (F.size(words) >= 20)
+    return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(c + c)), F.lit(c + c)) for c in SIGNS], F.when(few, F.lit(FEW_KINDS))))
 
 
 @dataclass(frozen=True)
@@ -67,36 +65,40 @@ class Evidence:
 
     def columns(self, documents: DataFrame) -> DataFrame:
         """documents with __tokens and the two sums of evidence."""
+        names = sorted({n for w in self.weights for n in w})
         known = documents.withColumn("__words", words_of(text_or_empty()))
-        known = known.withColumn("__tokens", F.size("__words").cast("long")).withColumn("__features", features_of(F.col("__words")))
-        sums = [_sum_of("__features", w) for w in self.weights]
-        return known.withColumns({"__plain": sums[0], "__toxic": sums[1]}).drop("__words", "__features")
+        hits = F.array_intersect("__words", _constant(names, "array<string>"))
+        known = known.withColumns({"__tokens": F.size("__words").cast("long"), "__hits": F.concat(hits, F.array_intersect(marks_of(text_or_empty(), F.col("__words")), _constant(names, "array<string>")))})
+        sums = [_sum_of("__hits", names, [w.get(n, 0.0) for n in names]) for w in self.weights]
+        return known.withColumns({"__plain": sums[0], "__toxic": sums[1]}).drop("__words", "__hits")
 
 
-def _sum_of(features: str, weights: dict[str, float]) -> Column:
-    if not weights:
-        return F.lit(0.0)
-    names = sorted(weights)
-    listed = F.from_json(F.lit(json.dumps(names)), "array<string>")  # constants once planned
-    values = F.from_json(F.lit(json.dumps([weights[n] for n in names])), "array<double>")
-    hits = F.array_intersect(F.col(features), listed)
-    return F.aggregate(hits, F.lit(0.0), lambda total, f: total + F.element_at(values, F.array_position(listed, f).cast("int")))
+def _constant(values: list, kind: str) -> Column:
+    """A list as one constant of the plan."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def _sum_of(hits: str, names: list[str], weights: list[float]) -> Column:
+    listed, values = _constant(names, "array<string>"), _constant(weights, "array<double>")
+    return F.aggregate(F.array_distinct(hits), F.lit(0.0), lambda total, f: total + F.element_at(values, F.array_position(listed, f).cast("int")))
 
 
 def learn(documents: DataFrame, labels: DataFrame, max_labelled: int = 8000) -> Evidence:
     sample = domain_of(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     taught = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id")
-    known = taught.select("domain", features_of(words_of(F.col("text"))).alias("features"))
+    words = words_of(F.col("text"))
+    known = taught.select("domain", F.array_distinct(F.concat(words, marks_of(F.col("text"), words))).alias("features"))
     total = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
     sizes = [total.get(k, 0) for k in range(len(DOMAINS))]
-    each = [F.count_if(F.col("domain") == k) for k in range(len(DOMAINS))]
-    counts = known.select("domain", F.explode("features").alias("feature")).groupBy("feature").agg(*[c.alias(f"n{k}") for k, c in enumerate(each)])
-    weights: list[dict[str, float]] = []
-    for k in (1, 2):
-        share, base = F.col(f"n{k}") / max(1, sizes[k]), (F.col("n0") + 0.5) / (sizes[0] + 1)
-        # a document has few features, so few features are in a fixed share of the documents
-        strong = counts.where((share >= LEAST_SHARE) & (F.col(f"n{k}") >= 5) & (share > base * math.exp(STRONG)))
-        weights.append({r["feature"]: round(r["w"], 4) for r in strong.select("feature", F.log(share / base).alias("w")).collect()})
+    each = [F.count_if(F.col("domain") == k).alias(f"n{k}") for k in range(len(DOMAINS))]
+    # explode_outer: for explode, the optimiser would infer a filter on the features and push it below the join
+    counts = known.select("domain", F.explode_outer("features").alias("feature")).where("feature is not null").groupBy("feature").agg(*each)
+    base = (F.col("n0") + 0.5) / (sizes[0] + 1)
+    share = {k: F.col(f"n{k}") / max(1, sizes[k]) for k in (1, 2)}
+    speaks = {k: (share[k] >= LEAST_SHARE) & (F.col(f"n{k}") >= 5) & (share[k] > base * math.exp(STRONG)) for k in (1, 2)}
+    # a document has few features, so few features are in a fixed share of the documents
+    strong = counts.where(speaks[1] | speaks[2]).select("feature", *[F.when(speaks[k], F.log(share[k] / base)).alias(f"w{k}") for k in (1, 2)]).collect()
+    weights = [{r["feature"]: round(r[f"w{k}"], 4) for r in strong if r[f"w{k}"] is not None} for k in (1, 2)]
     return Evidence(tuple(weights))
 
 

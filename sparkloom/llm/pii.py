@@ -6,8 +6,8 @@ at-sign, addresses in dotted form, card numbers (Luhn) and phone numbers from th
 values after their cue, postal addresses after a house number. A parser of a kind never goes back before the end of the
 kind's last match, so each kind's spans are those of a leftmost, non-overlapping search.
 
-Kinds of the base (email, ip, card, phone) follow the stated patterns exactly; the method adds url (with its address
-part), secret, iban, account and street spans.
+Kinds of the base (email, ip, card, phone) follow the stated patterns exactly; the method adds url, secret, iban, account,
+street and ssn spans, and emails whose at-sign is spelled out.
 
 Defined results: null texts count as empty; places are code points, ends exclusive; repeated rows are scanned each; a
 null doc_id is kept.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import small_batches, text_or_empty
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "url", "secret", "iban", "account", "street")
+KINDS = (*BASE_KINDS, "url", "secret", "iban", "account", "street", "ssn", "spelled_email")
 # The stated patterns, tried at an anchor.
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -46,6 +46,10 @@ VALUES = {
     "account": re.compile(r"[\s:=#.]{0,4}(?:number|no|nr|id)?[\s:=#.]{1,4}([A-Za-z]{0,2}[0-9](?:[\x20-]?[0-9]){5,16})\b", re.I),
 }
 STREET = re.compile(r"[0-9]{1,5}\x20(?:[A-Z][a-z]+\x20){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Boulevard|Blvd|Drive|Dr)\b")
+SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+# Ways in which an at-sign is spelled out, and the domain after one.
+SPELLED_AT = ("[at]", "(at)", "{at}", "[AT]", "(AT)", "&#64;", "%40")
+SPELLED_DOMAIN = re.compile(r"\s?[A-Za-z0-9-]+(?:(?:\.|\s?(?:\[dot\]|\(dot\)|\{dot\})\s?)[A-Za-z0-9-]+)+", re.I)
 LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -70,6 +74,8 @@ def automaton() -> ahocorasick.Automaton:
     found.add_word("+", ("plus", 1))
     for s in SCHEMES:
         found.add_word(s, ("scheme", len(s)))
+    for at in SPELLED_AT:
+        found.add_word(at, ("spelled_email", len(at)))
     for cue, kind in CUES.items():
         for form in {cue, cue.upper(), cue.capitalize()}:
             found.add_word(form, (kind, len(form)))
@@ -99,6 +105,9 @@ def spans_of(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int,
                 done["ip"] = m.end()
                 if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups()):
                     found["ip"].append(m.span())
+            if at >= done["ssn"] and run - at == 3 and (m := SSN.match(text, at)):
+                done["ssn"] = m.end()
+                found["ssn"].append(m.span())
             if at >= done["street"] and run < len(text) and text[run] == " " and (m := STREET.match(text, at)):
                 done["street"] = m.end()
                 found["street"].append(m.span())
@@ -118,6 +127,14 @@ def spans_of(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int,
             if at >= done["url"] and (m := URL.match(text, last + 1)):
                 done["url"] = m.end()
                 found["url"].append((at, m.end()))
+        elif kind == "spelled_email":
+            stop = at - (at > 0 and text[at - 1] == " ")
+            start = stop
+            while start > done[kind] and text[start - 1] in LOCAL_SET:
+                start -= 1
+            if start < stop and (m := SPELLED_DOMAIN.match(text, last + 1)):
+                done[kind] = m.end()
+                found[kind].append((start, m.end()))
         elif at >= done[kind] and (m := VALUES[kind].match(text, last + 1)):
             start, end = m.span(1)
             while kind == "iban" and start < end and not iban_holds(text[start:end]):

@@ -50,6 +50,8 @@ def test_base_spans_equal_the_patterns():
         ("IBAN: DE89 3704 0044 0532 0130 00 ok", "iban", "DE89 3704 0044 0532 0130 00"),
         ("account number: 12345678.", "account", "12345678"),
         ("at 12 Main Street today", "street", "12 Main Street"),
+        ("his number 123-45-6789 is", "ssn", "123-45-6789"),
+        ("write to jo.doe [at] example [dot] com now", "spelled_email", "jo.doe [at] example [dot] com"),
     ],
 )
 def test_added_spans(text, kind, value):

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -65,8 +66,17 @@ class Scratch:
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: The folder that holds this package.
+HOME = str(Path(__file__).resolve().parents[2])
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows of an Arrow batch, as texts may be long."""
+    """Before Python runs on executors: bounds the rows of an Arrow batch, as texts may be long, and lets workers find this
+    package where the session was started without it on their path."""
+    environment = spark.sparkContext.environment
+    known = [p for p in environment.get("PYTHONPATH", "").split(":") if p]
+    if HOME not in known:
+        environment["PYTHONPATH"] = ":".join([HOME, *known])
     if int(spark.conf.get(BATCH_ROWS)) > rows:
         spark.conf.set(BATCH_ROWS, str(rows))
 

@@ -149,7 +149,18 @@ def rate_column(posterior: list[Column], steps: list[list[float]]) -> Column:
     return F.aggregate(listed, F.lit(1.0), lambda rate, step: F.greatest(F.lit(0.0), rate + move(step)))
 
 
-def fit_rates(scored: DataFrame, shares: dict[str, float], lead_epochs: float, most_steps: int = 25) -> list[list[float]]:
+def rates_of(table: list[list[float]], steps: list[list[float]]) -> list[float]:
+    """The rate of each row of posteriors; as rate_column, for the few bins that there are."""
+    out = []
+    for posterior in table:
+        rate = 1.0
+        for step in steps:
+            rate = max(0.0, rate + sum(p * x for p, x in zip(posterior, step, strict=True)))
+        out.append(rate)
+    return out
+
+
+def fit_rates(scored: DataFrame, shares: dict[str, float], lead_epochs: float, most_steps: int = 12) -> list[list[float]]:
     """Projected steps towards the targets. scored: tokens and p_<domain>. The first domain is read ``lead_epochs`` times;
     the others up to their share beside it, and once at most.
 
@@ -187,7 +198,7 @@ def fit_rates(scored: DataFrame, shares: dict[str, float], lead_epochs: float, m
         gained = size - size_of(missing(then))
         steps.append(step)
         miss, free = missing(then), then_free
-        if gained <= 1e-9 * size:
+        if gained <= 1e-3 * size:
             break
         size -= gained
     return steps
@@ -211,7 +222,7 @@ def fit(documents: DataFrame, labels: DataFrame, shares: dict[str, float] | None
     mark = F.xxhash64("doc_id", text_or_empty())
     scored = scratch.table(known.select("doc_id", F.col("__tokens").alias("tokens"), bin_of(F.col("__plain"), F.col("__toxic")).alias("bin"), mark.alias("mark")), "scored")
     table = calibrate(scored, labels)
-    scored = scored.select("doc_id", "tokens", "mark", *[c.alias(f"p_{d}") for c, d in zip(posterior_columns(F.col("bin"), table), DOMAINS, strict=True)])
+    scored = scored.select("doc_id", "tokens", "mark", "bin", *[c.alias(f"p_{d}") for c, d in zip(posterior_columns(F.col("bin"), table), DOMAINS, strict=True)])
     return Mix(evidence, table, fit_rates(scored, SHARES if shares is None else shares, lead_epochs), scored)
 
 
@@ -224,15 +235,16 @@ def rates(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """documents(doc_id, text), labels(doc_id, quality, toxic). Returns doc_id, tokens, p_good, p_plain, p_toxic, rate and
     copies for each document."""
     mix = fit(documents, labels, **options)
-    rate = rate_column([F.col(f"p_{d}") for d in DOMAINS], mix.steps)
-    return mix.scored.withColumn("rate", rate).withColumn("copies", copies_of(F.col("rate"), F.col("mark"))).drop("mark")
+    rate = F.element_at(_constant(rates_of(mix.table, mix.steps), "array<double>"), F.col("bin") + 1)
+    return mix.scored.withColumn("rate", rate).withColumn("copies", copies_of(F.col("rate"), F.col("mark"))).drop("mark", "bin")
 
 
 def mixed(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents, all columns, each as often as its copies."""
     mix = fit(documents, labels, **options)
-    known = mix.evidence.columns(documents)
-    rate = rate_column(posterior_columns(bin_of(F.col("__plain"), F.col("__toxic")), mix.table), mix.steps)
+    known = mix.evidence.columns(documents).withColumn("__bin", bin_of(F.col("__plain"), F.col("__toxic")))
+    rate = F.element_at(_constant(rates_of(mix.table, mix.steps), "array<double>"), F.col("__bin") + 1)
     copies = copies_of(rate, F.xxhash64(F.col("doc_id").cast("long"), text_or_empty()))
-    repeated = known.withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    # explode_outer and a filter on its result: other filters would be pushed below, and the evidence made once more for them
+    repeated = known.withColumn("__copies", copies).withColumn("__copy", F.explode_outer(F.when(F.col("__copies") > 0, F.sequence(F.lit(1), F.col("__copies"))))).where("__copy is not null")
     return repeated.select(*documents.columns)

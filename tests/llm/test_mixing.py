@@ -68,6 +68,8 @@ def test_projection(spark):
     toxic = sum(g.rate * g.tokens * g.p_toxic for g in got)
     assert abs(toxic - 0.01 * (2000 + 120) / 0.98) < 0.1 and min(g.rate for g in got) >= 0
     assert len(steps) > 1
+    again = M.rates_of([[g.p_good, g.p_plain, g.p_toxic] for g in got], steps)
+    assert all(abs(g.rate - x) < 1e-9 for g, x in zip(got, again, strict=True))
 
 
 def test_empty(spark):

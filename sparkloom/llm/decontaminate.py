@@ -3,8 +3,10 @@
 A walk (see cgk) begins at every word of an item and of a document. Its bands, samples of the walk's steps, tolerate edits;
 where a document's band word equals an item's, the item may lie there, and the two places give the item-sized window. Each
 window is proposed by every word of the passage, in every band, so a passage at the least likeness is found with high
-probability: one needs ``votes`` proposals from different words within the window's slack. Windows so found are
-verified by the exact least edit distance between the item and any substring of the window.
+probability: one needs ``votes`` proposals from different words within the window's slack. Windows so found pass a filter
+that loses none (edit distance of pieces of 64 characters, all windows at once) and are verified by the exact least edit
+distance between the item and any substring of the window. Items in which fewer walks surely end are also looked up as a
+whole, by their hash.
 
 Items go to the executors in blocks of at most ``block_bytes`` of text, each block in a pass of its own, so what is
 broadcast is bounded whatever the benchmark.
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.cgk import Walks, code_points
-from sparkloom.llm.common import small_batches, text_or_empty
+from sparkloom.llm.common import gram_hash, small_batches, text_or_empty
 
 U = np.uint64
 FOLD = np.arange(0x250, dtype=np.uint32)
@@ -71,6 +73,43 @@ def least_edits(pattern: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def pieces_fit(patterns: list[np.ndarray], which: np.ndarray, codes: np.ndarray, begins: np.ndarray, ends: np.ndarray, rate: float) -> np.ndarray:
+    """Whether a substring of window i, codes[begins[i]:ends[i]], can be patterns[which[i]] with edits at the rate: then a piece
+    of at most 64 characters has no more than its share of them. All windows take their columns together; characters are
+    compared by six bits, which can only make distances smaller."""
+    fit = np.zeros(len(which), bool)
+    for c in range(0, len(which), 1 << 14):
+        used, own = np.unique(which[c : c + (1 << 14)], return_inverse=True)
+        count = np.array([-(-len(patterns[i]) // 64) for i in used])
+        lows = [(p & 63).astype(np.int64) for i, n in zip(used, count, strict=True) for p in np.array_split(patterns[i], n)]
+        size = np.array([len(p) for p in lows])
+        where = np.zeros((len(lows), 64), U)
+        for i, p in enumerate(lows):
+            np.bitwise_or.at(where[i], p, U(1) << np.arange(len(p), dtype=U))
+        n = count[own]
+        window = np.repeat(np.arange(len(own)) + c, n)
+        piece = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat((np.cumsum(count) - count)[own], n)
+        order = np.argsort(begins[window] - ends[window], kind="stable")  # the longest windows first
+        window, piece = window[order], piece[order]
+        at, length, top = begins[window], ends[window] - begins[window], (size[piece] - 1).astype(U)
+        score = size[piece].copy()
+        least = score.copy()
+        plus, minus = np.full(len(piece), ~U(0)), np.zeros(len(piece), U)
+        active = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), "left")
+        for j, k in enumerate(active.tolist()):
+            v, m = plus[:k], minus[:k]
+            eq = where[piece[:k], (codes[at[:k] + j] & 63).astype(np.int64)]
+            x = eq | m
+            h = (((eq & v) + v) ^ v) | eq
+            up, down = m | ~(h | v), v & h
+            score[:k] += (up >> top[:k] & U(1)).astype(np.int64) - (down >> top[:k] & U(1)).astype(np.int64)
+            up, down = up << U(1), down << U(1)
+            plus[:k], minus[:k] = down | ~(x | up), up & x
+            np.minimum(least[:k], score[:k], out=least[:k])
+        fit[window[least <= rate * size[piece]]] = True
+    return fit
+
+
 def gram_classes(codes: np.ndarray) -> np.ndarray:
     low = codes.astype(np.int64) & 31
     return np.bincount((low[:-2] * 32 + low[1:-1]) % 64 * 32 + low[2:], minlength=2048) if len(codes) > 2 else np.zeros(2048, np.int64)
@@ -79,8 +118,8 @@ def gram_classes(codes: np.ndarray) -> np.ndarray:
 class Items:
     """Folded items, and a table of their band words; fits in one broadcast."""
 
-    def __init__(self, rows: list[tuple[int, str]], walks: Walks, least_words: int, rate: float):
-        self.walks, self.rate = walks, rate
+    def __init__(self, rows: list[tuple[int, str]], walks: Walks, least_words: int, rate: float, votes: int):
+        self.walks, self.rate, self.votes = walks, rate, votes
         codes, off = folded([t for _, t in rows])
         starts = word_starts(codes, off)
         of = np.searchsorted(off, starts, "right") - 1
@@ -94,6 +133,12 @@ class Items:
         self.keys, band_of = [], []
         place = starts - off[of] - np.array(self.lead, np.int64)[of] if len(of) else starts
         self.grams = [gram_classes(c) for c in self.codes]
+        whole = np.bincount(of[starts + walks.steps <= off[of + 1]], minlength=len(rows)) if len(of) else np.zeros(len(rows), int)
+        self.short: dict[int, dict[int, list[int]]] = {}  # by length and hash, items in which fewer than votes walks surely end
+        for i in np.unique(of).tolist():
+            if whole[i] < votes:
+                n = len(self.codes[i])
+                self.short.setdefault(n, {}).setdefault(int(gram_hash(self.codes[i].astype(U) + U(1), n)[0]), []).append(i)
         self.maps, self.seen = [], []
         for b in range(walks.bands):
             order = np.argsort(keys[:, b], kind="stable")
@@ -102,7 +147,7 @@ class Items:
             seen[(keys[:, b] >> U(44)).astype(np.int64)] = True
             self.seen.append(seen)
 
-    def find(self, texts: list[str], votes: int) -> list[tuple[int, int, int, int, int, float]]:
+    def find(self, texts: list[str]) -> list[tuple[int, int, int, int, int, float]]:
         """(row, item, start, end, distance, likeness) of every verified place."""
         codes, off = folded(texts)
         if not len(codes) or not self.ids:
@@ -120,24 +165,48 @@ class Items:
             which = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
             where = starts[at][own]
             found.append(np.stack((np.searchsorted(off, where, "right") - 1, of[which], where - place[which], place[which]), 1))
-        proposals = np.unique(np.concatenate(found), axis=0)
+        row, item, start, place = np.concatenate(found).T
+        lengths = np.array([len(c) for c in self.codes])
+        margin = int(lengths.max())
+        order = np.argsort((row * len(lengths) + item) * (len(codes) + 2 * margin) + start + margin)
+        row, item, start, place = row[order], item[order], start[order], place[order]
+        slack = (self.rate * lengths)[item].astype(np.int64) + 1
+        new = np.ones(len(row), bool)  # a group ends where the next proposal is farther than the slack
+        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > slack[1:])
+        group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        more = np.flatnonzero((np.bincount(group, minlength=len(first)) >= self.votes)[group])
+        by_place = more[np.argsort(group[more] * (len(codes) + 1) + (start + place)[more])]
+        g, at = group[by_place], (start + place)[by_place]
+        other = np.ones(len(g), bool)
+        other[1:] = (g[1:] != g[:-1]) | (at[1:] != at[:-1])
+        words = np.bincount(g[other], minlength=len(first))
+        last = np.append(first[1:], len(row)) - 1
+        k = np.flatnonzero(words >= self.votes)
+        of, i, j = item[first[k]], first[k], last[k]
+        r = row[i]
+        length = lengths[of]
+        low, high = np.maximum(start[i] - slack[i], off[r]), np.minimum(start[j] + length + slack[i], off[r + 1])
+        fit = pieces_fit(self.codes, of, codes, low, high, self.rate)
         out: set[tuple] = set()
-        begin = 0
-        rows = proposals.tolist()
-        while begin < len(rows):
-            row, item, start, _ = rows[begin]
-            length = len(self.codes[item])
-            slack = int(self.rate * length) + 1
-            stop = begin
-            places = set()
-            last = start
-            while stop < len(rows) and rows[stop][:2] == [row, item] and rows[stop][2] - last <= slack:
-                last = rows[stop][2]
-                places.add(last + rows[stop][3])
-                stop += 1
-            if len(places) >= votes:
-                out |= self._verify(codes, off, row, item, start - slack, last + length + slack)
-            begin = stop
+        for r, i, a, b in zip(r[fit].tolist(), of[fit].tolist(), low[fit].tolist(), high[fit].tolist(), strict=True):
+            out |= self._verify(codes, off, r, i, a, b)
+        for n, known in self.short.items():
+            at = starts[starts + n <= ends]
+            if not len(at):
+                continue
+            hashes = gram_hash(codes.astype(U) + U(1), n)[at]
+            for p in at[np.isin(hashes, np.array(list(known), U))].tolist():
+                r = int(np.searchsorted(off, p, "right")) - 1
+                for i in known[int(gram_hash(codes[p : p + n].astype(U) + U(1), n)[0])]:
+                    out |= self._verify(codes, off, r, i, p, p + n)
+        return self._apart(out)
+
+    def _apart(self, found: set[tuple]) -> list[tuple]:
+        """Of places of an item that overlap in a row, the nearest one."""
+        out: list[tuple] = []
+        for hit in sorted(found, key=lambda h: (h[0], h[1], h[4], h[2], h[3])):
+            if not any(o[:2] == hit[:2] and o[2] < hit[3] and hit[2] < o[3] for o in reversed(out) if o[:2] == hit[:2]):
+                out.append(hit)
         return sorted(out)
 
     def _common_grams(self, item: int, window: np.ndarray) -> int:
@@ -166,7 +235,7 @@ class Leaks:
 
     def __init__(self, benchmark: DataFrame, likeness: float = 0.8, least_words: int = 5, votes: int = 2, block_bytes: int = 16 << 20, seed: int = 23):
         spark = benchmark.sparkSession
-        self.votes, walks = votes, Walks(40, 4, 16, seed)
+        walks = Walks(28, 8, 10, seed)
         items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).where("text is not null").distinct()
         total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         blocks = max(1, -(-total // block_bytes))
@@ -174,19 +243,19 @@ class Leaks:
         for k in range(blocks):
             part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
             rows = sorted(((r.item_id, r.text) for r in part.collect()), key=str)
-            self.blocks.append(spark.sparkContext.broadcast(Items(rows, walks, least_words, 1 - likeness + 1e-9)))
+            self.blocks.append(spark.sparkContext.broadcast(Items(rows, walks, least_words, 1 - likeness + 1e-9, votes)))
 
     def hits(self, documents: DataFrame) -> DataFrame:
         """A row for each place: doc_id, item_id, start, end (code points), distance (edits), likeness."""
         small_batches(documents.sparkSession, 500)
-        docs, votes = documents.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), self.votes
+        docs = documents.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
         out = None
         for block in self.blocks:
 
             def scan(batches, block=block):
                 for batch in batches:
                     ids = batch.column("doc_id").to_pylist()
-                    if found := block.value.find(batch.column("text").to_pylist(), votes):
+                    if found := block.value.find(batch.column("text").to_pylist()):
                         columns = list(zip(*((ids[f[0]], *f[1:]) for f in found), strict=True))
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, HITS, strict=True)], schema=HITS)
 
@@ -197,14 +266,13 @@ class Leaks:
     def without(self, documents: DataFrame) -> DataFrame:
         """The documents, all columns, that have no such passage."""
         small_batches(documents.sparkSession, 500)
-        votes = self.votes
         for block in self.blocks:
 
             def scan(batches, block=block):
                 for batch in batches:
                     texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
                     clean = np.ones(len(texts), bool)
-                    clean[[f[0] for f in block.value.find(texts, votes)]] = False
+                    clean[[f[0] for f in block.value.find(texts)]] = False
                     yield batch.filter(pa.array(clean))
 
             documents = documents.mapInArrow(scan, documents.schema)

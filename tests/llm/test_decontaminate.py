@@ -74,3 +74,26 @@ def test_empty(spark):
     docs, bench = spark.createDataFrame([(1, prose(50))], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert D.Leaks(bench).hits(docs).collect() == [] and D.Leaks(bench).without(docs).count() == 1
     assert D.Leaks(spark.createDataFrame([(1, prose(9))], "item_id long, text string")).hits(docs.limit(0)).collect() == []
+
+
+def far_edits(text, rate):
+    out = list(text)
+    for _ in range(int(rate * len(text))):
+        i = r.randrange(len(out))
+        out[i : i + 1] = r.choice([[], [r.choice("abcdefgh ")], [r.choice("abcdefgh "), out[i]]])
+    return "".join(out)
+
+
+def test_recall_at_the_stated_likeness(spark):
+    items = [(i, prose(15)) for i in range(200)]
+    docs = spark.createDataFrame([(i, f"{prose(15)} {far_edits(t, 0.19)} {prose(15)}") for i, t in items], "doc_id long, text string")
+    got = {(h.doc_id, h.item_id) for h in D.Leaks(spark.createDataFrame(items, "item_id long, text string")).hits(docs).collect()}
+    assert len([i for i, _ in items if (i, i) in got]) >= 0.9 * len(items)
+
+
+def test_short_items_word_for_word(spark):
+    short = [" ".join("".join(r.choice("etaoinshr") for _ in range(r.randint(1, 4))) for _ in range(5)) for _ in range(100)] + ["\u6f22\u5b57\u4eee\u540d\u4ea4"]
+    items = list(enumerate(short))
+    docs = spark.createDataFrame([(i, f"{prose(15)} {t} {prose(15)}") for i, t in items], "doc_id long, text string")
+    got = {(h.doc_id, h.item_id) for h in D.Leaks(spark.createDataFrame(items, "item_id long, text string")).hits(docs).collect()}
+    assert {(i, i) for i, _ in items} <= got

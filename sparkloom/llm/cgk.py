@@ -37,12 +37,19 @@ def walk_starts(codes: np.ndarray, off: np.ndarray, gram: int, spacing: int) ->
 
 
 class Walks:
-    """``bands`` bands of ``sample`` steps each, of walks of ``steps`` steps; fixed by the seed."""
+    """``bands`` bands of ``sample`` steps each, of walks of ``steps`` steps; fixed by the seed. Sure walks move on after
+    every second step at least, so they read steps / 2 characters or more, and deal all steps to the bands."""
 
-    def __init__(self, steps: int = 64, bands: int = 3, sample: int = 12, seed: int = 11):
+    def __init__(self, steps: int = 64, bands: int = 6, sample: int = 12, seed: int = 11, sure: bool = True):
         words = random_words(seed, steps * 256).reshape(steps, 256)
         self.move = (words >> U(17) & U(1)).astype(np.int64)
+        if sure:
+            if bands * sample < steps:
+                raise ValueError("too few samples to have every step in a band")
+            self.move[1::2] = 1
         order = np.argsort(random_words(seed + 1, bands * steps).reshape(bands, steps), axis=1)[:, :sample]
+        if sure:
+            order = np.resize(np.argsort(random_words(seed + 1, steps)), (bands, sample))
         self.in_band = np.zeros((steps, bands), bool)
         for b in range(bands):
             self.in_band[order[b], b] = True

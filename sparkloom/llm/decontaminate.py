@@ -235,7 +235,7 @@ class Leaks:
 
     def __init__(self, benchmark: DataFrame, likeness: float = 0.8, least_words: int = 5, votes: int = 2, block_bytes: int = 16 << 20, seed: int = 23):
         spark = benchmark.sparkSession
-        walks = Walks(28, 8, 10, seed)
+        walks = Walks(28, 8, 10, seed, sure=False)
         items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).where("text is not null").distinct()
         total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         blocks = max(1, -(-total // block_bytes))

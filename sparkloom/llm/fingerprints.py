@@ -1,7 +1,7 @@
 """Document fingerprints from randomised edit embeddings.
 
-Walks (see cgk) begin at places that the text itself chooses, about every 24 characters, so an edit changes the walks
-near it and no others. Their band words, sampled steps of each walk, form the document's set; the fingerprint holds for
+Walks (see cgk) begin at places that the text itself chooses, about every 14 characters, so an edit changes the walks
+near it and no others. Each walk reads on past the next place, or to the end, so every character is read. Their band words, sampled steps of each walk, form the document's set; the fingerprint holds for
 each of 128 slots one byte of the slot's smallest word, so the Hamming distance of two fingerprints in bytes falls as
 their sets agree. Likeness is the share of the text that two documents have in common, estimated from it: with J the
 corrected share of equal bytes, 2J / (1 + J). Candidates for near pairs come from bands of sampled bytes, and are
@@ -25,7 +25,8 @@ from sparkloom.llm.cgk import Walks, code_points, walk_starts
 from sparkloom.llm.common import Scratch, mix64, shuffle_parts, small_batches, text_or_empty
 
 U = np.uint64
-SLOTS, GRAM, SPACING = 128, 6, 47
+#: A run of SPACING grams has GRAM + SPACING - 1 = 32 characters, which a walk of 64 steps surely reads: none is left out.
+SLOTS, GRAM, SPACING = 128, 6, 27
 FIRST_ID = -(1 << 63)
 
 

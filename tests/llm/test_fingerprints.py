@@ -60,3 +60,23 @@ def test_one_and_none(spark):
     assert P.edited_fingerprints(spark.createDataFrame([], SCHEMA)).collect() == []
     (one,) = P.edited_fingerprints(spark.createDataFrame([(1, "abcd", "", 1)], SCHEMA)).collect()
     assert one.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and one.near_next == 1
+
+
+def test_every_character_is_read():
+    walks, r = P.Walks(), random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    pairs = []
+    for n in (1, 8, 31, 33, 51, 52, 80):
+        for _ in range(60):
+            a = "".join(r.choice(letters) for _ in range(n))
+            pairs.append((a, a[: max(0, n - 10)] + "".join(r.choice(letters.replace(c, "")) for c in a[-10:])))
+    before, after = P.sketch([a for a, _ in pairs], walks), P.sketch([b for _, b in pairs], walks)
+    assert (before != after).any(1).all()
+
+
+def test_each_change_of_one_character_is_read():
+    walks, r = P.Walks(), random.Random(7)
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) for n in (20, 51, 70, 100)]
+    for t in texts:
+        prints = P.sketch([t] + [t[:i] + "#" + t[i + 1 :] for i in range(len(t))], walks)
+        assert (prints[1:] != prints[0]).any(1).all()

@@ -38,6 +38,8 @@ from sparkloom.llm.common import (
 CHUNK = 1 << 17
 #: Bytes of text whose entries a map task merges before it sends them.
 BLOCK_BYTES = 12 << 20
+#: Stored bytes of documents in a part, and bytes of windows that a task gathers before it sends them.
+PART_BYTES, FETCHED_BYTES = 8 << 20, 16 << 20
 NO_ID = (1 << 63) - 1
 U = np.uint64
 
@@ -223,11 +225,36 @@ CONTEXTS = [("bucket", pa.int32()), ("part", pa.int32()), ("grams", B), ("contex
 CONTEXTS_SQL = "bucket int, part int, grams binary, contexts binary, ids binary, marks binary, starts binary, runs binary"
 
 
-def _fetch(docs: pa.Table, wanted: pa.Table, depth: int, buckets: int) -> Iterator[dict]:
+def _beside(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of found, packed, and then the documents of each part, in one order: a task holds what was found for one part
+    and a batch of documents, however long the texts are."""
+    packed = found.select("part", F.lit(0).alias("kind"), "ids", "marks", "starts", "runs", "grams")
+    texts = docs.select("part", F.lit(1).alias("kind"), "doc_id", "mark", "text")
+    return packed.unionByName(texts, allowMissingColumns=True).repartition("part").sortWithinPartitions("part", "kind")
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, pa.RecordBatch]]:
+    """Batches of documents, each with what was found for its part."""
+    part, held, found = None, [], {}
+    for batch in batches:
+        of, kind = batch.column("part").to_numpy(), batch.column("kind").to_numpy()
+        bounds = np.append(run_starts(of, kind), len(of))
+        for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if of[x] != part:
+                part, held, found = of[x], [], None
+            if kind[x] == 0:
+                held.append(batch.slice(x, y - x))
+                continue
+            if found is None:
+                found, held = _by_document(pa.Table.from_batches(held)) if held else {}, []
+            yield found, batch.slice(x, y - x)
+
+
+def _fetch(batches: Iterator[pa.RecordBatch], depth: int, buckets: int) -> Iterator[dict]:
     """The bytes of the open windows, by the gram's bucket."""
-    want = _by_document(wanted)
     cols: list[list] = [[], [], [], [], [], []]
-    for batch in docs.to_batches():
+    size = 0
+    for want, batch in _parts(batches):
         raw, off = utf8_parts(batch.column("text"))
         for i, key in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), strict=True)):
             if key not in want:
@@ -237,8 +264,15 @@ def _fetch(docs: pa.Table, wanted: pa.Table, depth: int, buckets: int) -> Iterat
             n = len(starts)
             for c, x in zip(cols, (grams, np.full(n, key[0]), np.full(n, key[1]), starts, runs, raw[places]), strict=True):
                 c.append(x)
-    if not cols[0]:
-        return
+            size += len(places)
+        if size >= FETCHED_BYTES:
+            yield from _by_bucket(cols, depth, buckets)
+            cols, size = [[], [], [], [], [], []], 0
+    if cols[0]:
+        yield from _by_bucket(cols, depth, buckets)
+
+
+def _by_bucket(cols: list[list], depth: int, buckets: int) -> Iterator[dict]:
     grams, ids, marks, starts, runs, body = (np.concatenate(x) for x in cols)
     to = _bucket(grams, buckets)
     order = np.argsort(to, kind="stable")
@@ -315,9 +349,8 @@ def repeated_windows(body: np.ndarray, place: np.ndarray, group: np.ndarray, ids
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
-def _cut(docs: pa.Table, hits: pa.Table, depth: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
-    found = _by_document(hits)
-    for batch in docs.to_batches(max_chunksize=500):
+def _cut(batches: Iterator[pa.RecordBatch], depth: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
+    for found, batch in _parts(batches):
         raw, off = utf8_parts(batch.column("text"))
         out = []
         for i, key in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), strict=True)):
@@ -334,15 +367,24 @@ def _cut(docs: pa.Table, hits: pa.Table, depth: int, keep_text: bool) -> Iterato
                 spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
                 kept = text[~gone].tobytes()
             out.append((None if key[0] == NO_ID else key[0], len(text), removed, spans, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), RESULT, strict=True)], schema=RESULT) if out else RESULT.empty_table().to_batches()[0]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), RESULT, strict=True)], schema=RESULT)
+
+
+def _part_count(documents: DataFrame) -> int:
+    """Parts of the documents: by stored bytes, as the plan states them, so packed rows don't multiply where there are
+    more partitions than the input fills; a partition each where the input is larger than that."""
+    size = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, min(shuffle_parts(documents.sparkSession), -(-size // PART_BYTES)))
 
 
 def remove_repeats(documents: DataFrame, depth: int = 50, gram: int = 24, keep_text: bool = True) -> DataFrame:
     """documents(doc_id, text): each byte of a ``depth``-byte string that also starts in a document with a smaller doc_id
     goes. Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_text, the kept bytes."""
     spark = documents.sparkSession
+    if not 0 < gram <= depth or depth - gram > 255:
+        raise ValueError("gram must be from 1 to depth, and at least depth - 255")
     small_batches(spark)
-    parts = shuffle_parts(spark)
+    parts = _part_count(documents)
     buckets = 4 * parts
     scratch = Scratch(spark, "suffix")
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_or_empty().cast("binary").alias("text"), F.xxhash64(text_or_empty()).alias("mark"))
@@ -363,14 +405,10 @@ def remove_repeats(documents: DataFrame, depth: int = 50, gram: int = 24, keep_t
     second = scratch.table(sent.groupBy("bucket", "to").applyInArrow(lambda t: _relay(t, parts), SENT_SQL), "second")
     keyed = docs.withColumn("part", _part_sql(parts))
     wanted = second.where(F.col("bucket") == OPEN).select("part", "ids", "marks", "starts", "runs", "grams")
-    contexts = (
-        keyed.groupBy("part")
-        .cogroup(wanted.groupBy("part"))
-        .applyInArrow(lambda d, w: _as_table(_fetch(d, w, depth, buckets), CONTEXTS), CONTEXTS_SQL)
-    )
+    contexts = _beside(keyed, wanted).mapInArrow(lambda x: _send(_fetch(x, depth, buckets), CONTEXTS), CONTEXTS_SQL)
     last = scratch.table(contexts.groupBy("bucket").applyInArrow(lambda t: _as_table(_last_digits(t, depth, parts), SENT), SENT_SQL), "last")
     hits = second.where(F.col("bucket") == REPEAT).unionByName(last).select("part", "ids", "marks", "starts", "runs", "grams")
-    done = keyed.groupBy("part").cogroup(hits.groupBy("part")).applyInArrow(lambda d, h: pa.Table.from_batches(_cut(d, h, depth, keep_text), RESULT), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    done = _beside(keyed, hits).mapInArrow(lambda x: _cut(x, depth, keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return done if keep_text else done.drop("kept")
 
 

@@ -71,3 +71,20 @@ def test_small_depth_and_gram(spark):
 def test_empty_table(spark):
     assert run(spark, []) == []
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).schema["n_removed"].dataType == T.LongType()
+
+
+def test_runs_of_windows_fit_their_byte(spark):
+    with pytest.raises(ValueError):
+        remove_repeats(spark.createDataFrame([], SCHEMA), depth=400, gram=24)
+    rows = [(i, "x" * 200 + "q" * i + "longer passage in every text " * 14) for i in range(4)]
+    assert run(spark, rows, depth=279, gram=24) == brute(rows, 279)
+
+
+def test_many_parts_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr("sparkloom.llm.suffix_dedup.PART_BYTES", 1000)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        rows = corpus(3)
+        assert run(spark, rows) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -30,3 +32,20 @@ def build_session(app: str = "sparkloom", cpus: int = 8, memory: str = "16g", **
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; column pruning and filters reach the Parquet scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Folders made for local sessions that name none, by application.
+_own_folders: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where none is named, a local session gets a temporary one; on a cluster
+    that is an error, as executors don't share local folders."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own_folders:
+        _own_folders[app] = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
+    return _own_folders[app]

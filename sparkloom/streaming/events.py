@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators.mutations import keep_last
+from sparkloom.session import shared_dir
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 8) -> DataFrame:
@@ -29,12 +30,7 @@ def run_to_table(stream: DataFrame, keys: list[str], mode: str = "update") -> Da
     """Runs a stream over all there is. Each batch is written with its number, so a batch that is repeated after a failure
     overwrites itself; the last state of each key counts."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile  # noqa: PLC0415  only where no shared folder is named
-
-        base = f"file://{tempfile.mkdtemp(prefix='sparkloom-stream-')}"
-    root = f"{base}/stream-{uuid.uuid4().hex[:12]}"
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/data/batch={number}")

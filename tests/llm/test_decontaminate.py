@@ -97,3 +97,66 @@ def test_short_items_word_for_word(spark):
     docs = spark.createDataFrame([(i, f"{prose(15)} {t} {prose(15)}") for i, t in items], "doc_id long, text string")
     got = {(h.doc_id, h.item_id) for h in D.Leaks(spark.createDataFrame(items, "item_id long, text string")).hits(docs).collect()}
     assert {(i, i) for i, _ in items} <= got
+
+
+def found_by_scan(items, texts, rate=0.2):
+    """Which items lie in which texts, by the plain table over all of each text; characters folded as the operator does."""
+    fold = lambda t: "".join(c.lower() if c.isascii() or "À" <= c <= "Þ" else c for c in t).replace("\n", " ")
+    return {(i, k) for i, t in enumerate(texts) for k, x in items if plain_distance(fold(x), fold(t)) <= rate * len(x)}
+
+
+def model(items, least_words=5):
+    return D.Items(items, 0.2 + 1e-9, least_words, 15, 2, 23)
+
+
+def test_against_a_scan_of_all_windows():
+    """Every item against every text, at growing edits: nothing false is found, and 0.9 of what is there (all, for items
+    under 15 words)."""
+    for low, high, least in ((5, 14, 1.0), (15, 20, 0.9)):
+        items = [(i, prose(r.randint(low, high))) for i in range(24)]
+        texts = [f"{prose(8)} {far_edits(t, rate)} {prose(8)}" for rate in (0.08, 0.12, 0.16, 0.19) for _, t in items[:12]]
+        want = found_by_scan(items, texts)
+        got = {(f[0], f[1]) for f in model(items).find(texts)}
+        assert got <= want and len(got) >= least * len(want) and len(want) >= 45
+
+
+def test_recall_of_longer_items():
+    for low, high in ((15, 15), (16, 30), (31, 60)):
+        for rate in (0.08, 0.12, 0.16, 0.19):
+            items = [(i, prose(r.randint(low, high))) for i in range(100)]
+            got = {(f[0], f[1]) for f in model(items).find([f"{prose(15)} {far_edits(t, rate)} {prose(15)}" for _, t in items])}
+            assert len([i for i in range(100) if (i, i) in got]) >= 90, (low, rate)
+
+
+def test_repetitive_text():
+    found = model([(1, "na " * 10), (2, "ha ha")]).find(["na " * 11_000, "ha ha ha " * 3, "aha ha"])
+    first = [f for f in found if f[:2] == (0, 1)]
+    assert len(first) == 1100 and all(a[3] <= b[2] for a, b in zip(first, first[1:]))
+    assert [f[2:4] for f in found if f[0] == 1] == [(0, 5), (6, 11), (12, 17), (18, 23)]
+    assert not [f for f in found if f[0] == 2]
+
+
+def test_few_words_as_they_are():
+    items = [(1, "What is the capital?"), (2, "Yes"), (3, "漢字"), (4, "   ")]
+    found = model(items).find(["so WHAT is\nthe capital? yes", "what is the capital?s yesterday 大漢字典", "yes"])
+    assert [(f[0], f[1], f[4]) for f in found] == [(0, 1, 0), (0, 2, 0), (1, 3, 0), (2, 2, 0)]
+
+
+def test_segments_and_bounded_proposals(monkeypatch):
+    items = [(i, prose(r.randint(2, 40))) for i in range(30)] + [(99, prose(20))] * 2
+    items += [(100, items[7][1])]
+    texts = [" ".join(prose(30) + " " + items[r.randrange(30)][1] for _ in range(40)) for _ in range(5)]
+    whole = model(items).find(texts)
+    assert {f[1] for f in whole if f[1] == 7} == {7} and {f[:1] + f[2:] for f in whole if f[1] == 7} == {f[:1] + f[2:] for f in whole if f[1] == 100}
+    monkeypatch.setattr(D, "SEGMENT", 1500)
+    monkeypatch.setattr(D, "PROPOSALS", 50)
+    assert model(items).find(texts) == whole
+
+
+def test_the_broadcast_is_plain_text():
+    import pickle
+
+    items = [(i, prose(20)) for i in range(500)]
+    used = model(items)
+    used.find(["a text"])
+    assert len(pickle.dumps(used)) < 2 * sum(len(t.encode()) for _, t in items)

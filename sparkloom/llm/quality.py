@@ -11,7 +11,7 @@ doc_id); every document is scored over its whole text.
 
 Defined results: null texts count as empty; a text without features, or a table without usable labels, gets the labelled
 share of ones (0.5 without any); rows with a null label or doc_id teach nothing; several labels of one doc_id count as
-their mean; repeated rows are scored each.
+their mean, and of several texts of one the text with the least hash teaches; repeated rows are scored each.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import BYTE_WORDS, gram_hash, mix64, run_starts, small_batches, text_or_empty, utf8_parts
+from sparkloom.llm.common import BASE, BYTE_WORDS, gram_hash, mix64, run_starts, small_batches, text_or_empty, utf8_parts
 from sparkloom.llm.suffix_dedup import _powers
 
 U = np.uint64
@@ -36,30 +36,38 @@ LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
 def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text of each word (lower-cased A-Z); words end at white space and at the ends of texts."""
+    """Hash and text of each word (lower-cased A-Z); words end at white space and at the ends of texts. A word that goes on
+    past a chunk is carried over, so its hash depends on its bytes only."""
     hashes, owners = [], []
     up, down = _powers(CHUNK + 1)
     edge = np.zeros(len(raw) + 1, bool)
     edge[off] = True
-    a = 0
-    while a < len(raw):
+    begun = None  # hash and length of a word that the last chunk left open
+    for a in range(0, len(raw), CHUNK):
         b = min(a + CHUNK, len(raw))
-        if b < len(raw):  # cut at white space where there is some
-            gap = np.flatnonzero(SPACE[raw[a:b]])
-            b = a + int(gap[-1]) + 1 if len(gap) else b
         part = raw[a:b]
         solid = ~SPACE[part]
         begins = solid.copy()
         begins[1:] &= ~solid[:-1] | edge[a + 1 : b]
         starts = np.flatnonzero(begins)
-        if len(starts):
-            ends_at = np.append(~solid[1:] | edge[a + 1 : b], True) & solid
-            ends = np.flatnonzero(ends_at) + 1
-            sums = np.zeros(len(part) + 1, U)
-            np.cumsum(BYTE_WORDS[LOWER[part]] * up[: len(part)], out=sums[1:])
-            hashes.append(mix64((sums[ends] - sums[starts]) * down[starts]))
-            owners.append(np.searchsorted(off, starts + a, "right") - 1)
-        a = b
+        if not len(starts):
+            continue
+        ends = np.flatnonzero(np.append(~solid[1:] | edge[a + 1 : b], True) & solid) + 1
+        sums = np.zeros(len(part) + 1, U)
+        np.cumsum(BYTE_WORDS[LOWER[part]] * up[: len(part)], out=sums[1:])
+        found = (sums[ends] - sums[starts]) * down[starts]
+        own = np.searchsorted(off, starts + a, "right") - 1
+        length = int(ends[-1] - starts[-1])
+        if begun:
+            if len(starts) == 1:
+                length += begun[1]
+            found[0] = (begun[0] + int(found[0]) * pow(BASE, begun[1], 1 << 64)) & ((1 << 64) - 1)
+            begun = None
+        if b < len(raw) and solid[-1] and not edge[b] and not SPACE[raw[b]]:
+            begun = int(found[-1]), length
+            found, own = found[:-1], own[:-1]
+        hashes.append(mix64(found))
+        owners.append(own)
     if not hashes:
         return np.zeros(0, U), np.zeros(0, np.int64)
     return np.concatenate(hashes), np.concatenate(owners)
@@ -157,9 +165,9 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", max_lab
             rows = features(*utf8_parts(batch.column("text"))).astype(np.float16)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), batch.column("y"), batch.column("doc_id")], names=["row", "y", "doc_id"])
 
-    found = texts.join(F.broadcast(sample), "doc_id").select("text", "y", "doc_id").mapInArrow(scan, "row binary, y double, doc_id long").collect()
-    once = {r.doc_id: r for r in found}
-    found = [once[k] for k in sorted(once)]
+    chosen = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("least"))
+    found = chosen.select("least.text", "y", "doc_id").mapInArrow(scan, "row binary, y double, doc_id long").collect()
+    found.sort(key=lambda r: r.doc_id)
     rows = np.array([np.frombuffer(r.row, np.float16) for r in found], np.float32).reshape(-1, SIZE)
     return Model(rows, np.array([r.y for r in found], np.float64), **options)
 

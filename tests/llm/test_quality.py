@@ -54,3 +54,37 @@ def test_no_labels_and_no_documents(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert Q.scores(docs, Q.fit(docs, none)).first().score == 0.5
     assert Q.scores(docs.limit(0), Q.fit(docs.limit(0), none)).collect() == []
+
+
+def test_texts_without_white_space_do_not_depend_on_batches(monkeypatch):
+    r.seed(8)
+    texts = ["".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(r.randint(1, 700))) for _ in range(40)] + ["x" * 5000, "ab " + "y" * 900, "", "z"]
+    codes = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    alone = [Q.features(c, np.array([0, len(c)])) for c in codes]
+    off = np.cumsum([0, *map(len, codes)])
+    for chunk in (64, 999, 1 << 18):
+        monkeypatch.setattr(Q, "CHUNK", chunk)
+        assert np.allclose(Q.features(np.concatenate(codes), off), np.concatenate(alone))
+
+
+def test_against_plain_voting():
+    rows = Q.features(*_joined([text(i % 3 > 0) for i in range(80)]))
+    labels = np.array([float(i % 3 > 0) for i in range(80)])
+    model = Q.Model(rows[:60], labels[:60], neighbours=7)
+    vectors, others = model.project(rows[:60]).astype(float), model.project(rows[60:]).astype(float)
+    for v, got in zip(others, model.score(rows[60:]), strict=True):
+        near = sorted(((float(sum(a * b for a, b in zip(v, w, strict=True))), y) for w, y in zip(vectors, labels[:60], strict=True)), reverse=True)[:7]
+        votes = [(np.exp(model.sharp * (s - 1)) if s > 0 else 0.0, y) for s, y in near]
+        assert abs(got - (sum(w * y for w, y in votes) + 1e-6 * model.prior) / (sum(w for w, _ in votes) + 1e-6)) < 1e-4
+
+
+def _joined(texts):
+    codes = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    return np.concatenate(codes), np.cumsum([0, *map(len, codes)])
+
+
+def test_several_texts_of_one_id(spark):
+    rows = [(1, "AAA!! BBB%%%", 0, ""), (1, "plain words here", 0, ""), (2, "other plain words", 1, "")]
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int")
+    models = [Q.fit(spark.createDataFrame(x, SCHEMA), labels) for x in (rows, rows[::-1])]
+    assert len(models[0].labels) == 2 and np.allclose(models[0].vectors, models[1].vectors)

@@ -215,14 +215,17 @@ class Mix:
 SHARES = {"good": 0.88, "plain": 0.10, "toxic": 0.02}
 
 
-def fit(documents: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None, lead_epochs: float = 1.1, max_labelled: int = 8000) -> Mix:
+def fit(documents: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None, lead_epochs: float = 1.1, max_labelled: int = 8000, whole: bool = False) -> Mix:
+    """The evidence of each document is made once and written, with the whole row (row) where that is asked for."""
     scratch = Scratch(documents.sparkSession, "mixing")
     evidence = learn(documents, labels, max_labelled)
-    known = evidence.columns(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    rows = [F.struct(*[documents[c] for c in documents.columns]).alias("row")] if whole else []
+    known = evidence.columns(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *rows))
     mark = F.xxhash64("doc_id", text_or_empty())
-    scored = scratch.table(known.select("doc_id", F.col("__tokens").alias("tokens"), bin_of(F.col("__plain"), F.col("__toxic")).alias("bin"), mark.alias("mark")), "scored")
+    kept = ["row"] if whole else []
+    scored = scratch.table(known.select("doc_id", F.col("__tokens").alias("tokens"), bin_of(F.col("__plain"), F.col("__toxic")).alias("bin"), mark.alias("mark"), *kept), "scored")
     table = calibrate(scored, labels)
-    scored = scored.select("doc_id", "tokens", "mark", "bin", *[c.alias(f"p_{d}") for c, d in zip(posterior_columns(F.col("bin"), table), DOMAINS, strict=True)])
+    scored = scored.select("doc_id", "tokens", "mark", "bin", *kept, *[c.alias(f"p_{d}") for c, d in zip(posterior_columns(F.col("bin"), table), DOMAINS, strict=True)])
     return Mix(evidence, table, fit_rates(scored, SHARES if shares is None else shares, lead_epochs), scored)
 
 
@@ -241,10 +244,7 @@ def rates(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def mixed(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents, all columns, each as often as its copies."""
-    mix = fit(documents, labels, **options)
-    known = mix.evidence.columns(documents).withColumn("__bin", bin_of(F.col("__plain"), F.col("__toxic")))
-    rate = F.element_at(_constant(rates_of(mix.table, mix.steps), "array<double>"), F.col("__bin") + 1)
-    copies = copies_of(rate, F.xxhash64(F.col("doc_id").cast("long"), text_or_empty()))
-    # explode_outer and a filter on its result: other filters would be pushed below, and the evidence made once more for them
-    repeated = known.withColumn("__copies", copies).withColumn("__copy", F.explode_outer(F.when(F.col("__copies") > 0, F.sequence(F.lit(1), F.col("__copies"))))).where("__copy is not null")
-    return repeated.select(*documents.columns)
+    mix = fit(documents, labels, whole=True, **options)
+    rate = F.element_at(_constant(rates_of(mix.table, mix.steps), "array<double>"), F.col("bin") + 1)
+    copies = mix.scored.select("row", copies_of(rate, F.col("mark")).alias("copies")).where("copies > 0")
+    return copies.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

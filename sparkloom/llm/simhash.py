@@ -15,13 +15,14 @@ texts get equal rows; a null doc_id is kept as a row and never names a component
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import Scratch, run_starts, small_batches, text_or_empty
@@ -32,19 +33,24 @@ U = np.uint64
 STEP_WORDS, SPLIT_BITS = 1 << 21, 6
 
 
-def simhash(text: bytes, shingle: int = 4) -> int:
-    """Majority bits of the XXH64 (seed 42) of the word shingles, of lower-cased A-Z."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles, of lower-cased A-Z; of fewer words, of the whole sequence."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, U)
     line = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(line, 42)
+        return np.array([xxhash.xxh64_intdigest(line, 42)], U)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1]))
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[: len(words) - shingle + 1].tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)
-    return majority(np.array([digest(line[a:b], 42) for a, b in spans], U))
+    return np.array([digest(line[a:b], 42) for a, b in spans], U)
+
+
+def simhash(text: bytes, shingle: int = 4) -> int:
+    """Majority bits of the hashes of the word shingles; one shingle's bits are its hash."""
+    return majority(shingle_hashes(text, shingle))
 
 
 #: For each byte, its bits as counters of 8 bits in a word.
@@ -77,22 +83,13 @@ def masks(bits: range, most: int) -> list[int]:
     return [sum(1 << b for b in c) for k in range(most + 1) for c in combinations(bits, k)]
 
 
-def ball_links(found: np.ndarray, bucket: int, lead: int, radius: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among the fingerprints sent to a bucket of leading bits: a forest that spans each group that meets. A bucket
-    with too many words is split by its next bits, which shares them out among its parts, each word in one."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (y := root.get(x, x)) != x:
-            root[x] = root.get(y, y)
-            x = y
-        return x
-
-    left, right = [], []
+def meetings(found: np.ndarray, bucket: int, lead: int, radius: int, width: int = 64) -> Iterator[tuple[np.ndarray, ...]]:
+    """Where words of the balls of the fingerprints sent to a bucket meet: members of the groups, where each group begins,
+    and its length. A bucket with too many words is split by its next bits, which shares them out, each word in one part."""
     todo = [(np.arange(len(found)), bucket, lead)]
     while todo:
         own, bucket, lead = todo.pop()
-        low = 64 - lead
+        low = width - lead
         spent = np.bitwise_count((found[own] >> U(low)) ^ U(bucket)) if lead else np.zeros(len(own), np.uint8)
         if len(own) < 2:
             continue
@@ -117,13 +114,26 @@ def ball_links(found: np.ndarray, bucket: int, lead: int, radius: int, distance:
         first = run_starts(w)
         length = np.diff(np.append(first, len(w)))
         many = length > 1
-        if not many.any():
-            continue
-        head = np.repeat(of[first[many]], length[many] - 1)
-        inside = np.ones(len(w), bool)
-        inside[first] = False
-        tail = of[inside]
-        close = np.bitwise_count(found[head] ^ found[tail]) <= distance
+        if many.any():
+            met = np.repeat(many, length)
+            length = length[many]
+            yield of[met], np.cumsum(length) - length, length
+
+
+def ball_links(found: np.ndarray, bucket: int, lead: int, radius: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links among the fingerprints sent to a bucket of leading bits: a forest that spans each group that meets."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := root.get(x, x)) != x:
+            root[x] = root.get(y, y)
+            x = y
+        return x
+
+    left, right = [], []
+    for of, first, length in meetings(found, bucket, lead, radius):
+        head, tail = np.repeat(of[first], length), of
+        close = (head != tail) & (np.bitwise_count(found[head] ^ found[tail]) <= distance)
         pairs = np.unique(np.stack((np.minimum(head, tail), np.maximum(head, tail)), 1)[close], axis=0)
         for a, b in pairs.tolist():
             if (p := find(a)) != (q := find(b)):
@@ -172,14 +182,3 @@ def near_duplicates(documents: DataFrame, shingle: int = 4, distance: int = 4) -
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = scratch.table(named.join(smallest, "root").select("fp", "component_id"), "classes")
     return rows.join(by_print, "fp").select("doc_id", "fp", "component_id")
-
-
-def one_of_each(documents: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
-    """The documents, all columns, that are the smallest of their group of near-duplicates. Rows of one doc_id are one
-    document: the first by text stays. Rows without a doc_id are known by their text, and come before all others."""
-    own = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseOR(F.lit(-(1 << 63))))
-    keyed = documents.withColumn("__id", own)
-    found = near_duplicates(keyed.select(F.col("__id").alias("doc_id"), "text"), shingle, distance)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    first = F.row_number().over(Window.partitionBy("__id").orderBy("text"))
-    return keyed.join(stay, "__id", "left_semi").withColumn("__row", first).where("__row = 1").select(*documents.columns)

@@ -10,6 +10,7 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +40,8 @@ def atomic_chunks(pages: DataFrame) -> DataFrame:
     attribute = r'(\w+)="([^"]*)"'
     pairs = F.transform(F.regexp_extract_all(head, F.lit(attribute), F.lit(0)), lambda a: F.struct(F.regexp_extract(a, attribute, 1).alias("k"), T.html_unescape(F.regexp_extract(a, attribute, 2)).alias("v")))
     # the last value of a repeated attribute counts
-    last = F.map_from_entries(F.filter(pairs, lambda p: F.lit(True)))
+    repeated = lambda p, i: F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"])
+    last = F.map_from_entries(F.filter(pairs, lambda p, i: ~repeated(p, i)))
     with_map = marked.select("doc_id", F.col("page").alias("file_page"), "n", T.trim_all(body).alias("content"), last.alias("m"))
     known = lambda k, d: F.coalesce(F.col("m")[k], F.lit(d))
     rest = F.map_filter("m", lambda k, v: ~k.isin("type", "id", "page"))
@@ -121,20 +123,34 @@ def fold_boundaries(items: list[dict], sizes: Sizes) -> list[dict]:
 
 
 CHUNK_SCHEMA = "doc_id long, chunk_no int, content string, breadcrumbs string, char_count int, num_atomic_chunks int, chunk_types array<string>, type string, s3_uri string, ids array<string>"
+CHUNK_ARROW = pa.schema([("doc_id", pa.int64()), ("chunk_no", pa.int32()), ("content", pa.string()), ("breadcrumbs", pa.string()), ("char_count", pa.int32()), ("num_atomic_chunks", pa.int32()), ("chunk_types", pa.list_(pa.string())), ("type", pa.string()), ("s3_uri", pa.string()), ("ids", pa.list_(pa.string()))])
 
 
 def boundary_chunks(atoms: DataFrame, sizes: Sizes | None = None) -> DataFrame:
     """atoms as of atomic_chunks: the grouped chunks of each document."""
     sizes = sizes or Sizes()
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        items = [{"id": r.id, "type": r.type, "content": r.content or "", "metadata": dict(r.metadata or {})} for r in rows.itertuples()]
-        found = fold_boundaries(items, sizes)
-        table = pd.DataFrame([{"doc_id": rows.doc_id.iloc[0], "chunk_no": i, **f} for i, f in enumerate(found)], columns=["doc_id", "chunk_no", "content", "breadcrumbs", "char_count", "num_atomic_chunks", "chunk_types", "type", "s3_uri", "ids"])
-        return table
-
-    return atoms.groupBy("doc_id").applyInPandas(fold, CHUNK_SCHEMA)
+    def folded(doc_id, items: list[dict]) -> list[dict]:
+        return [{"doc_id": doc_id, "chunk_no": i, **f} for i, f in enumerate(fold_boundaries(items, sizes))]
+
+    def fold(batches):
+        """The rows of a document come one after another: it is folded when the next one begins."""
+        own, items = None, []
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if items and r["doc_id"] != own:
+                    out += folded(own, items)
+                    items = []
+                own = r["doc_id"]
+                items.append({"id": r["id"], "type": r["type"], "content": r["content"] or "", "metadata": dict(r["metadata"] or [])})
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=CHUNK_ARROW)
+        if items and (out := folded(own, items)):
+            yield pa.RecordBatch.from_pylist(out, schema=CHUNK_ARROW)
+
+    rows = atoms.select("doc_id", "seq", "id", "type", "content", "metadata").repartition("doc_id").sortWithinPartitions("doc_id", "seq")
+    return rows.mapInArrow(fold, CHUNK_SCHEMA)
 
 
 # Blocks that are never cut, as patterns of the marks around them.

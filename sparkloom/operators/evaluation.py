@@ -12,13 +12,17 @@ def retrieval_metrics(retrieved: Column, relevant: Column, k: int) -> Column:
     """retrieved: ids best first (repeats count each time); relevant: ids. Precision, recall and F1 to four digits, hit rate and
     nDCG over the first k."""
     wanted = F.array_distinct(relevant)
-    top = F.slice(retrieved, 1, k)
-    hits = F.size(F.filter(top, lambda r: F.array_contains(wanted, r)))
-    precision, recall = hits / F.greatest(F.size(top), F.lit(1)), hits / F.greatest(F.size(wanted), F.lit(1))
+    return ranked_metrics(F.transform(F.slice(retrieved, 1, k), lambda r: F.array_contains(wanted, r)), F.size(wanted), k)
+
+
+def ranked_metrics(flags: Column, relevant: Column, k: int) -> Column:
+    """The same from whether each retrieved row is relevant, best first, and the number of relevant ones: no list of them."""
+    hits = F.size(F.filter(flags, lambda f: f))
+    precision, recall = hits / F.greatest(F.size(flags), F.lit(1)), hits / F.greatest(relevant, F.lit(1))
     f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
-    gain = lambda flags: F.aggregate(flags, F.lit(0.0), lambda s, x: s + x)
-    dcg = gain(F.transform(top, lambda r, i: F.when(F.array_contains(wanted, r), 1.0 / F.log2(i + 2.0)).otherwise(0.0)))
-    best = F.least(F.size(wanted), F.lit(k))
+    gain = lambda gains: F.aggregate(gains, F.lit(0.0), lambda s, x: s + x)
+    dcg = gain(F.transform(flags, lambda f, i: F.when(f, 1.0 / F.log2(i + 2.0)).otherwise(0.0)))
+    best = F.least(relevant, F.lit(k))
     ideal = gain(F.transform(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: i < best), lambda i: 1.0 / F.log2(i + 2.0)))
     return F.struct(
         F.round(precision, 4).alias("precision"), F.round(recall, 4).alias("recall"), F.round(f1, 4).alias("f1"), F.when(hits > 0, 1.0).otherwise(0.0).alias("hit_rate"),

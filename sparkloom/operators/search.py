@@ -58,21 +58,40 @@ def two_memories(semantic: DataFrame, procedural: DataFrame, query: list[float],
     return parts[0].unionByName(parts[1])
 
 
-#: Numbers of a block of query vectors that is sent to every task.
-BLOCK = 4_000_000
+#: Numbers of a block of query vectors that is sent to every task, and scores that a task holds at a time.
+BLOCK, SCORES = 4_000_000, 2_000_000
+
+
+class _Nearest:
+    """The k best (query, vector, score) of all that was seen, by score and then by the smaller id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.least = k, np.full(queries, -np.inf)
+        self.query, self.vector, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, query: np.ndarray, vector: np.ndarray, score: np.ndarray) -> None:
+        query, vector, score = np.concatenate((self.query, query)), np.concatenate((self.vector, vector)), np.concatenate((self.score, score))
+        order = np.lexsort((vector, -score, query))
+        query, vector, score = query[order], vector[order], score[order]
+        first = np.flatnonzero(np.diff(query, prepend=-1))
+        rank = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+        last = rank == self.k - 1
+        self.least[query[last]] = score[last]
+        keep = rank < self.k
+        self.query, self.vector, self.score = query[keep], vector[keep], score[keep]
 
 
 def search_all(queries: DataFrame, vectors: DataFrame, k: int = 10, at_least: float | None = None) -> DataFrame:
     """queries(query_id, embedding), vectors(vec_id, embedding): the k nearest by cosine of every query, exact. Queries go in
-    blocks of bounded size; each task multiplies its vectors with a block and keeps k for each query, so the shuffle gets
-    k rows for each query and task. With at_least and k = 0, all pairs that near."""
+    blocks of bounded size; each task multiplies its vectors with a block, a bounded number of scores at a time, and keeps
+    k for each query, so the shuffle gets k rows for each query and task. With at_least and k = 0, all pairs that near."""
     spark = queries.sparkSession
     width = max(1, check_dimensions(queries))
     total = queries.count()
-    per = max(1, BLOCK // width)
+    blocks = max(1, -(-total * width // BLOCK))
     out = None
-    for n in range(max(1, -(-total // per))):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-total // per) or 1)) == n) if total > per else queries
+    for n in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n) if blocks > 1 else queries
         rows = part.select("query_id", "embedding").collect()
         ids = np.array([r[0] for r in rows], np.int64)
         block = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1) if rows else np.zeros((0, width))
@@ -81,20 +100,27 @@ def search_all(queries: DataFrame, vectors: DataFrame, k: int = 10, at_least: fl
 
         def scan(batches, shared=shared):
             own, q = shared.value
+            best = _Nearest(len(own), k)
             for rows in batches:
                 if not len(rows) or not len(own):
                     continue
                 v = np.stack(rows.embedding.to_numpy()).astype(np.float64)
                 length = np.linalg.norm(v, axis=1, keepdims=True)
-                near = (v / np.where(length == 0, 1, length)) @ q.T
-                if k and len(v) > k:
-                    keep = np.argpartition(-near, k - 1, axis=0)[:k]
-                    cut = np.take_along_axis(near, keep, 0).min(0)
+                v, at = v / np.where(length == 0, 1, length), rows.vec_id.to_numpy()
+                step = max(1, SCORES // len(v))
+                for a in range(0, len(own), step):
+                    near = v @ q[a : a + step].T
+                    if not k:
+                        i, j = np.nonzero(near >= at_least)
+                        yield pd.DataFrame({"query_id": own[a + j], "vec_id": at[i], "score": near[i, j]})
+                        continue
+                    cut = best.least[a : a + step] if at_least is None else np.maximum(best.least[a : a + step], at_least)
+                    if len(v) > k:
+                        cut = np.maximum(cut, np.partition(near, len(v) - k, axis=0)[len(v) - k])
                     i, j = np.nonzero(near >= cut)
-                else:
-                    i, j = np.nonzero(near >= (-2 if at_least is None else at_least))
-                got = pd.DataFrame({"query_id": own[j], "vec_id": rows.vec_id.to_numpy()[i], "score": near[i, j]})
-                yield got if at_least is None else got[got.score >= at_least]
+                    best.add(a + j, at[i], near[i, j])
+            if k:
+                yield pd.DataFrame({"query_id": own[best.query], "vec_id": best.vector, "score": best.score})
 
         found = vectors.select("vec_id", "embedding").mapInPandas(scan, "query_id long, vec_id long, score double")
         out = found if out is None else out.unionByName(found)

@@ -99,10 +99,12 @@ _RANKED = f"""r AS (SELECT q.vec_id AS query_id, q.label AS ql, v.vec_id, v.labe
 def _retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _vectors(spark, sf_dir)
     found = search.search_all(_asked(vectors), vectors, 11).where("query_id <> vec_id")
-    lists = found.groupBy("query_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda s: s["vec_id"]), 1, 10).alias("retrieved"))
-    members = vectors.groupBy("label").agg(F.collect_list("vec_id").alias("members"))
-    asked = _asked(vectors).join(members, F.col("query_label") == F.col("label")).select("query_id", F.array_remove("members", F.col("query_id")).alias("relevant"))
-    return lists.join(asked, "query_id").select("query_id", evaluation.retrieval_metrics(F.col("retrieved"), F.col("relevant"), 10).alias("m")).select("query_id", "m.*")
+    labels = vectors.select("vec_id", "label")
+    sizes = vectors.groupBy("label").agg((F.count("*") - 1).alias("relevant"))
+    judged = found.join(labels, "vec_id").join(_asked(vectors).select("query_id", "query_label"), "query_id")
+    hits = judged.groupBy("query_id", "query_label").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("rank", (F.col("label") == F.col("query_label")).alias("hit")))), lambda s: s["hit"]), 1, 10).alias("hits"))
+    asked = hits.join(sizes, F.col("query_label") == F.col("label"))
+    return asked.select("query_id", evaluation.ranked_metrics(F.col("hits"), F.col("relevant"), 10).alias("m")).select("query_id", "m.*")
 
 
 @register(f"WITH {_RANKED} SELECT query_id, round(p, 4) AS precision, round(rc, 4) AS recall, round(CASE WHEN p + rc > 0 THEN 2 * p * rc / (p + rc) ELSE 0 END, 4) AS f1, hit::DOUBLE AS hit_rate, round(ndcg, 4) AS ndcg FROM m")

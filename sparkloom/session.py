@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +51,21 @@ def shared_dir(spark: SparkSession) -> str:
     if app not in _own_folders:
         _own_folders[app] = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
     return _own_folders[app]
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again: for what a plan reads several times, or to cut its lineage. The
+    files go when the interpreter ends."""
+    spark = df.sparkSession
+    path, schema = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", df.schema
+    df.write.mode("overwrite").parquet(path)
+
+    def remove() -> None:
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session has ended: the shared folder's owner clears it
+            return
+
+    atexit.register(remove)
+    return spark.read.schema(schema).parquet(path)

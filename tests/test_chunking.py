@@ -103,3 +103,9 @@ def test_statistics(spark):
     rows = [("x" * n, "text", 1) for n in (1, 2, 3, 4)]
     s = C.chunk_statistics(spark.createDataFrame(rows, "content_only string, type string, page int")).first()
     assert (s.median, s.p25, s.p75, s.mean, s.std) == (3, 2, 4, 2.5, 1.1)
+
+
+def test_repeated_attribute(spark):
+    text = '<!-- BOUNDARY_START type="a" id="1" type="paragraph" page="2" x="1" x="2" -->\nsome words\n<!-- BOUNDARY_END type="paragraph" id="1" -->'
+    rows = C.atomic_chunks(spark.createDataFrame([(1, 1, text)], "doc_id long, page int, text string")).collect()
+    assert [(r.type, r.id, r.metadata) for r in rows] == [("paragraph", "1", {"x": "2"})]

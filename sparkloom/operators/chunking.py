@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
@@ -355,3 +355,80 @@ def chunk_statistics(chunks: DataFrame) -> DataFrame:
     at = lambda e, name: F.min(F.when(F.col("upto") > F.expr(e), F.col("x"))).alias(name)
     quartiles = upto.join(F.broadcast(total.select("n")), F.lit(True)).agg(at("n div 2", "median"), at("n div 4", "p25"), at("(3 * n) div 4", "p75"))
     return total.join(quartiles, F.lit(True))
+
+
+def of_type(chunks: DataFrame, kind: str) -> DataFrame:
+    return chunks.where(F.col("type") == kind)
+
+
+def of_page(chunks: DataFrame, page: int) -> DataFrame:
+    """Pages are compared as numbers, however they are written."""
+    return chunks.where(F.col("page").cast("int") == page)
+
+
+def under_breadcrumb(chunks: DataFrame, part: str) -> DataFrame:
+    """Chunks whose breadcrumbs have the part, in any case; chunks without any have the empty part only."""
+    return chunks.where(F.contains(F.lower(F.coalesce(F.col("metadata")["breadcrumbs"], F.lit(""))), F.lower(F.lit(part))))
+
+
+def text_only(chunks: DataFrame) -> DataFrame:
+    return chunks.where(F.col("type").isin("paragraph", "header"))
+
+
+REQUIRED = ("id", "text", "content_only")
+REQUIRED_METADATA = ("source", "page_number", "type", "breadcrumbs")
+
+
+def judged_chunks(chunks: DataFrame, most: int = 3000) -> DataFrame:
+    """chunks(id, text, content_only, metadata map) with what is wrong (the first of: a field, then a metadata key, is absent;
+    no content), or null, and whether the content is over one and a half times the largest size, which is allowed."""
+    field = F.lit(False)
+    for c in REQUIRED:
+        field = field | F.col(c).isNull()
+    keys = F.map_keys("metadata")
+    key = F.lit(False)
+    for c in REQUIRED_METADATA:
+        key = key | ~F.array_contains(keys, c)
+    fault = F.when(field | F.col("metadata").isNull(), "field").when(key, "metadata").when(T.trim_all(F.col("content_only")) == "", "empty")
+    return chunks.withColumns({"fault": fault, "oversize": fault.isNull() & (F.length("content_only") > most * 1.5)})
+
+
+def hierarchical_context(breadcrumbs: Column) -> Column:
+    """map: full_path, depth, and level_1 to level_n."""
+    levels = F.map_from_arrays(F.transform(breadcrumbs, lambda b, i: F.format_string("level_%d", i + 1)), breadcrumbs)
+    return F.map_concat(F.create_map(F.lit("full_path"), F.array_join(breadcrumbs, " > "), F.lit("depth"), F.size(breadcrumbs).cast("string")), levels)
+
+
+def page_blocks(pages: DataFrame) -> DataFrame:
+    """pages(doc_id, page, text): the spans that are never cut, with whether each lies in its text and after the one before."""
+
+    def scan(batches):
+        for rows in batches:
+            out = []
+            for r in rows.itertuples():
+                before = 0
+                for start, end, kind in protected_blocks(r.text or ""):
+                    out.append((r.doc_id, r.page, start, end, kind, before <= start < end <= len(r.text)))
+                    before = end
+            yield pd.DataFrame(out, columns=["doc_id", "page", "start", "end", "kind", "well_formed"])
+
+    return pages.select("doc_id", "page", "text").mapInPandas(scan, "doc_id long, page int, start int, end int, kind string, well_formed boolean")
+
+
+def block_counts(blocks: DataFrame) -> DataFrame:
+    """For each page with blocks, how many there are of each kind."""
+    return blocks.groupBy("doc_id", "page").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("image", "table", "code")])
+
+
+def consolidated(sections: DataFrame) -> DataFrame:
+    """sections(doc_id, seq, type, content, breadcrumbs, start, end): runs of text that are no lists as one section, under the
+    breadcrumbs of the run's last one; start and end are those of the section that ends the run, or of the last one."""
+    order = Window.partitionBy("doc_id").orderBy("seq")
+    plain = (F.col("type") == "text") & ~T.trim_all(F.col("content")).rlike(r"^(?:[-*+]|\d+\.)")
+    marked = sections.withColumn("plain", plain).withColumns({"n": F.sum((~F.col("plain")).cast("int")).over(order), "next_start": F.lead("start").over(order), "next_end": F.lead("end").over(order)})
+    runs = marked.groupBy("doc_id", "n", "plain").agg(F.array_sort(F.collect_list(F.struct("seq", "type", "content", "breadcrumbs", "start", "end", "next_start", "next_end"))).alias("s"))
+    last = F.element_at("s", -1)
+    return runs.select(
+        "doc_id", F.get("s", F.lit(0))["seq"].alias("seq"), last["type"].alias("type"), F.array_join(F.transform("s", lambda x: x["content"]), "\n\n").alias("content"), last["breadcrumbs"].alias("breadcrumbs"),
+        F.when(F.col("plain"), F.coalesce(last["next_start"], last["start"])).otherwise(last["start"]).alias("start"), F.when(F.col("plain"), F.coalesce(last["next_end"], last["end"])).otherwise(last["end"]).alias("end"),
+    )

@@ -111,3 +111,34 @@ def tool_results_for_judge(results: DataFrame) -> DataFrame:
 def longest_word(words: Column) -> Column:
     """The longest; of equals the last."""
     return F.aggregate(words, F.lit(""), lambda best, w: F.when(F.length(best) > F.length(w), best).otherwise(w))
+
+
+def action_counts(messages: DataFrame, most: int) -> DataFrame:
+    """messages(run_id, tool_calls array): for each run the messages that call tools, and whether they keep the limit."""
+    calls = F.count_if(F.size(F.coalesce("tool_calls", F.array().cast("array<string>"))) > 0)
+    return messages.groupBy("run_id").agg(calls.alias("used")).withColumn("allowed", F.col("used") <= most)
+
+
+def vocabulary(*tables: DataFrame) -> DataFrame:
+    """tables(text): the distinct lower-cased words of all, with the number of texts that have each."""
+    out = None
+    for t in tables:
+        words = t.select(F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))).alias("word"))
+        out = words if out is None else out.unionByName(words)
+    return out.groupBy("word").agg(F.count("*").alias("texts"))
+
+
+def full_text_search(rows: DataFrame, key: str, query: str) -> DataFrame:
+    """rows(key, text) that have every word of the query (any case), with how often they have them: a scan, no index."""
+    words = sorted({w for w in query.lower().split() if w})
+    own = F.split(F.lower("text"), r"[^\p{L}\p{N}]+")
+    count = lambda w: F.size(F.filter(own, lambda x: x == F.lit(w)))
+    counts = [count(w) for w in words]
+    found = rows.select(key, F.array(*counts).alias("c"))
+    return found.where(F.forall("c", lambda n: n > 0)).select(key, F.aggregate("c", F.lit(0), lambda s, n: s + n).alias("hits"))
+
+
+def with_figures(pages: DataFrame, figures: DataFrame) -> DataFrame:
+    """pages(doc_id, page, text), figures(doc_id, page, n, description): each page with its figures' descriptions after it."""
+    lines = figures.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "description"))), lambda f: F.format_string("[Figure %d: %s]", f["n"], f["description"])), "\n").alias("figures"))
+    return pages.join(lines, ["doc_id", "page"], "left").select("doc_id", "page", F.concat_ws("\n\n", "text", "figures").alias("text"))

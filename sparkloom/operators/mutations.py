@@ -82,3 +82,17 @@ def with_stock_status(products: DataFrame) -> DataFrame:
     """What the stock trigger keeps: no stock makes active rows out_of_stock, and stock makes those active again."""
     status = F.when((F.col("stock_quantity") == 0) & (F.col("status") == "active"), "out_of_stock").when((F.col("stock_quantity") > 0) & (F.col("status") == "out_of_stock"), "active")
     return products.withColumn("status", F.coalesce(status, F.col("status")))
+
+
+def touched(before: DataFrame, after: DataFrame, key: str, now: Column, stamp: str = "updated_at") -> DataFrame:
+    """What the timestamp trigger keeps: rows of after that differ from before get the stamp; new rows keep their own."""
+    names = [c for c in after.columns if c not in (key, stamp)]
+    old = before.select(key, F.struct(*names).alias("__old"))
+    changed = F.col("__old").isNotNull() & ~F.struct(*names).eqNullSafe(F.col("__old"))
+    return after.join(old, key, "left").withColumn(stamp, F.when(changed, now).otherwise(F.col(stamp))).drop("__old")
+
+
+def with_duration(uploads: DataFrame) -> DataFrame:
+    """What the duration trigger keeps: whole seconds from start to completion, where both are known."""
+    took = (F.col("processing_completed_at").cast("timestamp").cast("double") - F.col("processing_started_at").cast("timestamp").cast("double"))
+    return uploads.withColumn("processing_duration_seconds", F.coalesce(F.round(took).cast("int"), F.col("processing_duration_seconds")))

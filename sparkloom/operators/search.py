@@ -146,6 +146,22 @@ def fit_centroids(vectors: DataFrame, lists: int, sample: int = 20_000, rounds:
     return centres
 
 
+def fit_probes(vectors: DataFrame, centres: np.ndarray, k: int = 10, recall: float = 0.95, sample: int = 20_000, queries: int = 200) -> int:
+    """The fewest lists to probe so that the k nearest are found at the recall, measured by exact search within a bounded
+    sample (the ``sample`` rows with the smallest hash of their id, of which the first ``queries`` ask)."""
+    rows = vectors.orderBy(F.xxhash64("vec_id")).limit(sample).select("embedding").collect()
+    x = np.array([r[0] for r in rows], np.float64).reshape(len(rows), -1)
+    if len(x) <= k:
+        return len(centres)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    asked = x[:queries]
+    nearest = np.argpartition(-(asked @ x.T), k, axis=1)[:, :k]
+    order = np.argsort(np.argsort(-(asked @ centres.T), axis=1), axis=1)  # rank of each list for each query
+    own = (x @ centres.T).argmax(1)
+    ranks = np.take_along_axis(order, own[nearest], 1)
+    return next((p for p in range(1, len(centres)) if (ranks < p).mean() >= recall), len(centres))
+
+
 def with_lists(vectors: DataFrame, centres: np.ndarray, probes: int = 1) -> DataFrame:
     """Each row once for each of its ``probes`` nearest centroids, as column ``list``."""
     shared = vectors.sparkSession.sparkContext.broadcast(centres)
@@ -207,3 +223,19 @@ def context_text(hits: DataFrame) -> DataFrame:
     groups = hits.groupBy("kind").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "name", line.alias("line")))).alias("g"))
     block = F.concat(F.lit("## "), "kind", F.lit("\n"), F.array_join(F.transform("g", lambda s: s["line"]), "\n"))
     return groups.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind", block.alias("b")))), lambda s: s["b"]), "\n\n").alias("context"))
+
+
+def context_details(hits: DataFrame) -> DataFrame:
+    """hits(score, table_name, entity_type, column_name, text): what the retrieved rows say, a row each: kind (table, column or
+    relationship), table_name, name, description (cut as the kind asks), join_condition, score to three digits. Of a table's
+    descriptions the best one counts."""
+    table, kind = F.coalesce("table_name", F.lit("unknown")), F.coalesce("entity_type", F.lit("unknown"))
+    cut = lambda n: F.when(F.length("text") > n, F.concat(F.left("text", F.lit(n)), F.lit("..."))).otherwise(F.col("text"))
+    join = F.trim(F.regexp_extract("text", r"JOIN_CONDITION:([^\n]*)\n", 1))
+    named = hits.withColumns({"table_name": table, "kind": kind})
+    rows = named.where("kind = 'relationship' or kind = 'table' or kind = 'column' and column_name <> ''").select(
+        "kind", "table_name", F.when(kind == "column", F.col("column_name")).otherwise("").alias("name"), F.when(kind == "relationship", cut(300)).otherwise(cut(200)).alias("description"),
+        F.when(kind == "relationship", join).otherwise("").alias("join_condition"), F.round("score", 3).alias("score"),
+        F.row_number().over(Window.partitionBy("kind", "table_name").orderBy(F.desc("score"), "text")).alias("n"),
+    )
+    return rows.where("kind <> 'table' or n = 1").drop("n")

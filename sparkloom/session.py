@@ -53,12 +53,9 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_folders[app]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: for what a plan reads several times, or to cut its lineage. The
-    files go when the interpreter ends."""
-    spark = df.sparkSession
-    path, schema = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", df.schema
-    df.write.mode("overwrite").parquet(path)
+def temporary_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, whose files go when the interpreter ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def remove() -> None:
         try:
@@ -68,4 +65,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
             return
 
     atexit.register(remove)
-    return spark.read.schema(schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again: for what a plan reads several times, or to cut its lineage."""
+    path, schema = temporary_path(df.sparkSession, name), df.schema
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)

@@ -13,15 +13,23 @@ def page_order(path: Column) -> Column:
     return F.coalesce(F.regexp_extract(name, r"\d+", 0).try_cast("int"), F.lit(0))
 
 
-def _decoded() -> Column:
-    """UTF-8, without a mark, where the bytes are; else Windows-1252's superset of Latin-1."""
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
-    return F.regexp_replace(text, "^﻿", "")
+def _windows_signs() -> tuple[str, str]:
+    """The characters that Windows-1252 has in place of Latin-1's controls, as two strings of equal length."""
+    pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    return "".join(a for a, b in pairs if b), "".join(b for _, b in pairs)
+
+
+def decoded(content: Column) -> Column:
+    """UTF-8, without a mark, where the bytes are; else Windows-1252; else, with bytes that it lacks, Latin-1."""
+    latin, (controls, signs) = F.decode(content, "ISO-8859-1"), _windows_signs()
+    windows = F.when(latin.rlike("[\\x81\\x8d\\x8f\\x90\\x9d]"), latin).otherwise(F.translate(latin, controls, signs))
+    text = F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(windows)
+    return F.regexp_replace(text, "^\ufeff", "")
 
 
 def read_texts(spark: SparkSession, *globs: str) -> DataFrame:
     """path, text of whole files."""
-    return spark.read.format("binaryFile").load(list(globs)).select("path", _decoded().alias("text"))
+    return spark.read.format("binaryFile").load(list(globs)).select("path", decoded(F.col("content")).alias("text"))
 
 
 def read_markdown_pages(spark: SparkSession, root: str, natural: bool = True) -> DataFrame:
@@ -40,13 +48,16 @@ def read_markdown_pages(spark: SparkSession, root: str, natural: bool = True) ->
 
 
 def read_chunk_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Chunks of files that hold a list of them, or an object with a list under 'chunks'; other shapes give none."""
+    """Chunks of files that hold a list of them, an object with a list under 'chunks', or one chunk (an object with one
+    of the fields at least); other shapes give none."""
     element = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     raw = read_texts(spark, path)
     listed = F.from_json("text", T.ArrayType(element))
     inside = F.from_json("text", T.StructType([T.StructField("chunks", T.ArrayType(element))]))["chunks"]
     is_list = F.ltrim("text").startswith("[")
-    return raw.select("path", F.posexplode(F.when(is_list, listed).otherwise(inside)).alias("n", "c")).select("path", "n", "c.*")
+    one = F.from_json("text", element)
+    alone = F.when(F.get_json_object("text", "$.chunks").isNull() & (F.to_json(one) != "{}"), F.array(one))
+    return raw.select("path", F.posexplode(F.when(is_list, listed).otherwise(F.coalesce(inside, alone))).alias("n", "c")).select("path", "n", "c.*")
 
 
 def read_strict_chunks(spark: SparkSession, path: str, schema: T.StructType | str, required: tuple[str, ...] = ("id", "text", "content_only", "metadata")) -> DataFrame:
@@ -106,6 +117,20 @@ def read_filtered_csv(spark: SparkSession, path: str, key: str) -> DataFrame:
     return spark.read.option("header", True).csv(path).where(F.coalesce(F.trim(key), F.lit("")) != "")
 
 
+def bulk_load(spark: SparkSession, paths: dict[str, str], order: list[str]) -> dict[str, DataFrame]:
+    """CSV files with headers as tables, in the order in which they refer to each other; empty fields are null."""
+    return {name: spark.read.option("header", True).option("inferSchema", True).option("nullValue", "").csv(paths[name]) for name in order if name in paths}
+
+
+def created_objects(events: DataFrame, prefix: str = "input/", suffix: str = ".pdf", now: Column | None = None) -> DataFrame:
+    """events(bucket, key, size) of created objects: those in the folder with the ending (any case), once each, as control
+    records that live for 90 days; the audit of their arrival lives for 180."""
+    now = F.unix_timestamp() if now is None else now
+    name = F.regexp_replace(F.element_at(F.split("key", "/"), -1), r"\.[^.]*$", "")
+    chosen = events.where(F.col("key").startswith(prefix) & F.lower("key").endswith(suffix)).dropDuplicates(["bucket", "key"])
+    return chosen.select(F.concat(F.lit("doc_"), name, F.lit("_"), F.left(F.md5("key"), F.lit(8))).alias("document_id"), "bucket", "key", "size", F.lit("PENDING").alias("status"), (now + 90 * 86400).alias("ttl"), (now + 180 * 86400).alias("audit_ttl"))
+
+
 def read_new_files(spark: SparkSession, folder: str, suffix: str = ".txt") -> DataFrame:
     """A stream of created files with that ending (any case): id from the path, so a file keeps it; PENDING rows."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder)

@@ -66,3 +66,14 @@ def audit_rows(before: DataFrame, after: DataFrame, now: Column) -> DataFrame:
     old = before.select("document_id", F.col("status").alias("old_status"))
     joined = after.join(old, "document_id", "left").where(~F.col("status").eqNullSafe(F.col("old_status")))
     return joined.select("document_id", now.alias("timestamp"), "old_status", F.col("status").alias("new_status"), (now + 180 * 86400).alias("ttl"))
+
+
+def audit_trail(audit: DataFrame, document_id: str) -> DataFrame:
+    """A document's audit rows in order of time."""
+    return audit.where(F.col("document_id") == document_id).orderBy("timestamp")
+
+
+def pipeline_totals(control: DataFrame) -> DataFrame:
+    """How many documents there are in each status, and of them those in which a stage failed."""
+    failed = F.exists(F.map_values("stage_status"), lambda s: s == "FAILED")
+    return control.groupBy("status").agg(F.count("*").alias("n"), F.count_if(failed).alias("with_failed_stage"))

@@ -116,3 +116,32 @@ def grouped_errors(errors: DataFrame) -> DataFrame:
 def daily_metrics(rows: DataFrame) -> DataFrame:
     """rows(date, metric_type, value, seq): the last write of each metric and day."""
     return keep_last(rows, ["date", "metric_type"], F.col("seq"))
+
+
+WIRE = "S string, N string, BOOL boolean, NULL boolean, L array<struct<S:string,N:string>>, SS array<string>, NS array<string>"
+
+
+def wire_value(tagged: Column) -> Column:
+    """JSON of a tagged value as plain text: strings and numbers as they are, lists and sets (sorted, once each) joined by
+    commas; null for NULL, and the JSON itself for an unknown tag."""
+    v = F.from_json(tagged, WIRE)
+    many = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
+    listed = F.array_join(F.transform(v["L"], lambda x: F.coalesce(x["S"], x["N"])), ",")
+    known = F.coalesce(v["S"], v["N"], v["BOOL"].cast("string"), listed, many(v["SS"]), many(F.transform(v["NS"], lambda n: n.cast("decimal(38,10)")).cast("array<double>").cast("array<string>")))
+    return F.when(v["NULL"], F.lit(None).cast("string")).otherwise(F.coalesce(known, tagged))
+
+
+def written_back(records: DataFrame, judged: DataFrame, now: Column) -> DataFrame:
+    """records(upload_id, record_id, status, error_reason, error_details, processed_at) with what was judged put in by key: the
+    reason and details change only where there is one."""
+    found = judged.groupBy("upload_id", "record_id").agg(F.max(F.struct("row_number", "status", "error_type", "error_message")).alias("j"))
+    rows = records.join(found, ["upload_id", "record_id"], "left")
+    hit, reason = F.col("j").isNotNull(), F.col("j.error_type")
+    return rows.withColumns({
+        "status": F.when(hit, F.col("j.status")).otherwise(F.col("status")), "processed_at": F.when(hit, now).otherwise(F.col("processed_at")),
+        "error_reason": F.coalesce(reason, "error_reason"), "error_details": F.when(reason.isNotNull(), F.col("j.error_message")).otherwise(F.col("error_details")),
+    }).drop("j")
+
+
+def error_file_path(vendor: Column, upload: Column) -> Column:
+    return F.concat(F.lit("errors/"), vendor, F.lit("/"), upload, F.lit("_errors.csv"))

@@ -62,3 +62,14 @@ def sessions(events: DataFrame, gap_seconds: int = 3600) -> DataFrame:
     second = F.unix_timestamp(F.col("ts").cast("timestamp"))
     marked = events.withColumn("second", second).withColumn("new", F.coalesce((F.col("second") - F.lag("second").over(order) > gap_seconds).cast("int"), F.lit(1)))
     return marked.withColumn("session", F.sum("new").over(order)).groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("second").alias("begin"), F.max("second").alias("end"))
+
+
+def session_stream(stream: DataFrame, gap: str = "1 hour", late: str = "1 day") -> DataFrame:
+    """The same as a stream: session windows that close when the watermark has passed them."""
+    counts = stream.withWatermark("at", late).groupBy("user_id", F.session_window("at", gap).alias("w")).agg(F.count("*").alias("n"))
+    return counts.select("user_id", F.unix_timestamp("w.start").alias("begin"), "n")
+
+
+def step_metrics(stream: DataFrame, step: str) -> DataFrame:
+    """Counters that each batch reports under a name, as observed metrics: rows, and rows without a value."""
+    return stream.observe(step, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("value").isNull()).alias("without_value"))

@@ -77,3 +77,33 @@ def test_empty(spark):
     assert M.rates(docs.limit(0), labels).collect() == []
     assert {round(g.rate, 6) for g in M.rates(docs, labels.limit(0)).collect()}
     assert M.mixed(docs.limit(0), labels.limit(0)).collect() == []
+
+
+def test_against_plain_least_squares(spark):
+    """The same problem by many small projected steps over single documents, in plain Python."""
+    rng = random.Random(2)
+    docs = []
+    for _ in range(60):
+        p = [rng.random() ** 3 for _ in range(3)]
+        docs.append((rng.randint(5, 200), *(x / sum(p) for x in p)))
+    shares = {"good": 0.7, "plain": 0.2, "toxic": 0.1}
+    steps = M.fit_rates(spark.createDataFrame([(t, *p) for t, *p in docs], "tokens long, p_good double, p_plain double, p_toxic double"), shares, 1.0)
+    now = [sum(t * p[k] for t, *p in docs) for k in range(3)]
+    budget = now[0] / shares["good"]
+    targets = [now[0], *(min(x, shares[d] * budget) for x, d in zip(now[1:], M.DOMAINS[1:]))]
+    miss = lambda rates: [g - sum(r * t * p[k] for r, (t, *p) in zip(rates, docs)) for k, g in enumerate(targets)]
+    rates = [1.0] * len(docs)
+    length = 1 / sum(t * t * sum(x * x for x in p) for t, *p in docs)
+    for _ in range(20_000):
+        gap = miss(rates)
+        rates = [max(0.0, r + length * t * sum(g * x for g, x in zip(gap, p))) for r, (t, *p) in zip(rates, docs)]
+    size = lambda m: sum(x * x for x in m) ** 0.5 / sum(targets)
+    ours = M.rates_of([list(p) for _, *p in docs], steps)
+    assert size(miss(ours)) <= size(miss(rates)) + 1e-3
+
+
+def test_very_long_text(spark):
+    _, _, docs, labels = tables(spark)
+    long = spark.createDataFrame([(7000, "word and " * 200_000, "x", 1)], SCHEMA)
+    got = {g.doc_id: g for g in M.rates(docs.unionByName(long), labels).collect()}
+    assert got[7000].tokens == 400_000 and got[7000].rate >= 0

@@ -2,10 +2,11 @@
 
 A text is put into a canonical form - lower case, one space for every run of signs, copyright lines dropped, equivalent
 spellings made the same - and the SHA-256 of the whole form is looked up in a table of known ones by a hash join. Units
-looked up are the whole document, and every line of it, as notices stand on lines of their own. Only units as long as
-some known text are hashed, which loses nothing.
+looked up are the whole document, without title lines and "all rights reserved" on a line of its own, and every line of it,
+as notices stand on lines of their own. Only units as long as some known text are hashed, which loses nothing.
 
-The table of known texts is a fixed list (a few kilobytes), so it is broadcast.
+The table of known texts is a fixed list (a few kilobytes), so it is broadcast. Long licenses are in it by the digests of
+their published texts. A license of several lines within a longer document is not found: only whole texts are looked up.
 
 Defined results: null and empty texts match nothing; a document that repeats a notice has a row for each line; repeated
 rows and null doc_ids are reported like others.
@@ -65,6 +66,30 @@ Permission is granted to anyone to use this software for any purpose, including
     "Apache-2.0 (SPDX)": "SPDX-License-Identifier: Apache-2.0",
     "All rights reserved": "All rights reserved.",
 }
+KNOWN["BSD-3-Clause"] = KNOWN["BSD-2-Clause"].replace(
+    "\nTHIS SOFTWARE", "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\nTHIS SOFTWARE"
+)
+# Lines that may stand over a license and change nothing in it, in canonical form.
+TITLES = (
+    "mit license", "the mit license", "the mit license mit", "isc license", "the isc license", "bsd 2 clause license", "the 2 clause bsd license", "simplified bsd license",
+    "bsd 3 clause license", "the 3 clause bsd license", "new bsd license", "bsd zero clause license", "zero clause bsd", "zlib license", "the zlib license", "all rights reserved",
+)
+# Whole published texts, by the length and the SHA-256 of their canonical form.
+PUBLISHED = {
+    "Apache-2.0": (9769, "1e0cd83bae9cf8d1f02f5e8e3671f8102f442d3bad2a80a52de80073922ad61a"),
+    "Artistic-1.0-Perl": (5653, "f273930184a9b8de03336e9ae5d74bef291165524044f55455ee5117f494811a"),
+    "CC0-1.0": (6692, "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    "GFDL-1.2": (19510, "835e93c269f96ffb287b3c8c1c5d41482a48fe84971237b192ae3d0f85299142"),
+    "GFDL-1.3": (21879, "2d23a1792689607291f114da9fdb3b413c6ef2346dfb9e4fafe0c5cf9b969da3"),
+    "GPL-1.0": (11700, "ecffd792bbe30a8f068c26179a7995c53247219322c9fdd6010c935476aec4fd"),
+    "GPL-2.0": (17051, "ceb13cdc7143ca5f58fb64136b9b542b00470d4db4dbcee1328c6250bf845b08"),
+    "GPL-3.0": (33205, "c533bbdba9f85c1594f3e5dce97ce23acc39c96fd1cf30473b35d0d9aa7b562e"),
+    "LGPL-2.0": (23934, "a04887a2e97819694b2be205fa65f330398118bc5fbc14141f2b447de4518f04"),
+    "LGPL-2.1": (25021, "acc395acbeb6beb07eb27e79961050220424a8555e86d51af0156340a30b4f77"),
+    "LGPL-3.0": (7104, "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    "MPL-1.1": (22448, "26ba73e836ecb04fe87d5eca80ca27cff1afa2d7683455be1517bd23b8d27986"),
+    "MPL-2.0": (14343, "4019e4c8fe9ede57c538b37b3332dc097a88c163e273bb6905d38316e63c2eb6"),
+}
 SIGNS = r"[^a-z0-9\n]+"
 RIGHTS = r"^ ?(copyright|c copyright|c [0-9]{4}|spdx filecopyrighttext)( |$)"
 
@@ -77,15 +102,24 @@ def canonical_lines(text: str) -> list[str]:
     return [x.strip(" ") for x in flat.split("\n") if x.strip(" ") and not re.search(RIGHTS, x)]
 
 
+def whole_form(lines: list[str]) -> str:
+    """The form of a whole text: its lines without titles, or all of them where there are no others."""
+    return " ".join([x for x in lines if x not in TITLES] or lines)
+
+
 def known_digests(known: dict[str, str]) -> list[tuple[str, str, int]]:
-    forms = {name: " ".join(canonical_lines(text)) for name, text in known.items()}
+    forms = {name: whole_form(canonical_lines(text)) for name, text in known.items()}
     return [(name, hashlib.sha256(f.encode()).hexdigest(), len(f)) for name, f in forms.items() if f]
 
 
+def all_known() -> list[tuple[str, str, int]]:
+    return known_digests(KNOWN) + [(name, digest, length) for name, (length, digest) in PUBLISHED.items()]
+
+
 def license_scan(documents: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
     """documents(doc_id, text). A row for each unit that is a known text: doc_id, scope ('document' or 'line'), unit (0, or
     the line's number among lines that count, from 1), license, digest."""
-    table = known_digests(KNOWN if known is None else known)
+    table = all_known() if known is None else known_digests(known)
     if len(table) > 100_000:
         raise ValueError("known texts are meant to be broadcast; join more than 100,000 by digest instead")
     spark = documents.sparkSession
@@ -98,7 +132,8 @@ def license_scan(documents: DataFrame, known: dict[str, str] | None = None) -> D
     lines = F.filter(F.split(flat, "\n"), lambda x: (F.trim(x) != "") & ~x.rlike(RIGHTS))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.transform(lines, lambda x: F.trim(x)).alias("lines"))
     fits = lambda c: F.length(c).isin(lengths)
-    whole = F.array_join("lines", " ")
+    untitled = F.filter("lines", lambda x: ~x.isin(*TITLES))
+    whole = F.array_join(F.when(F.size(untitled) > 0, untitled).otherwise(F.col("lines")), " ")
     units = F.concat(
         F.when(fits(whole), F.array(F.struct(F.lit("document").alias("scope"), F.lit(0).alias("unit"), whole.alias("body")))).otherwise(F.array().cast("array<struct<scope:string,unit:int,body:string>>")),
         F.filter(F.transform("lines", lambda x, i: F.struct(F.lit("line").alias("scope"), (i + 1).alias("unit"), x.alias("body"))), lambda u: fits(u["body"])),
@@ -112,12 +147,13 @@ def oracle() -> str:
     flat = "regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\\n]+', ' ', 'g')"
     for a, b in SPELLINGS.items():
         flat = f"replace({flat}, '{a}', '{b}')"
-    known = ", ".join(f"('{n}', '{d}')" for n, d, _ in known_digests(KNOWN))
+    known = ", ".join(f"('{n}', '{d}')" for n, d, _ in all_known())
+    titles = ", ".join(f"'{t}'" for t in TITLES)
     return f"""WITH known(license, digest) AS (VALUES {known}),
     raw AS (SELECT row_number() OVER () AS r, doc_id, {flat} AS flat FROM documents),
     cut AS (SELECT r, doc_id, string_split(flat, chr(10)) AS parts FROM raw),
     pieces AS (SELECT r, doc_id, unnest(parts) AS x, generate_subscripts(parts, 1) AS i FROM cut),
     kept AS (SELECT r, doc_id, i, trim(x, ' ') AS x FROM pieces WHERE trim(x, ' ') <> '' AND NOT regexp_matches(x, '{RIGHTS}')),
     units AS (SELECT doc_id, 'line' AS scope, CAST(row_number() OVER (PARTITION BY r ORDER BY i) AS INTEGER) AS unit, x AS body FROM kept
-      UNION ALL SELECT doc_id, 'document', 0, string_agg(x, ' ' ORDER BY i) FROM kept GROUP BY r, doc_id)
+      UNION ALL SELECT doc_id, 'document', 0, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (WHERE x NOT IN ({titles})), string_agg(x, ' ' ORDER BY i)) FROM kept GROUP BY r, doc_id)
     SELECT doc_id, scope, unit, license, digest FROM units JOIN known ON digest = sha256(body)"""

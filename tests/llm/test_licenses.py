@@ -1,4 +1,5 @@
 import hashlib
+from pathlib import Path
 
 import duckdb
 
@@ -12,15 +13,17 @@ def rows():
         "Released under the MIT License.", "Released under the MIT License.\nReleased under the MIT License.\n", None, "", "\n \n", "©", "Permission is granted", "É" * 50_000 + "\nLicensed under CC BY-NC 4.0.",
         "Copyright 2020 X. Released under the MIT License.",
     ]
+    texts += ["MIT License\n\nCopyright (c) 2021 A\n\n" + mit, "BSD 2-Clause License\n\nCopyright (c) 2020, B\nAll rights reserved.\n\n" + L.KNOWN["BSD-2-Clause"], "ISC License\n" + L.KNOWN["ISC"], L.KNOWN["BSD-3-Clause"]]
+    texts += [p.read_text() for p in (Path("/usr/share/common-licenses") / n for n in ("Apache-2.0", "GPL-3", "MPL-2.0")) if p.exists()]
     return [(i, t) for i, t in enumerate(texts)] + [(None, mit), (3, "All rights reserved"), (3, "All rights reserved")]
 
 
 def brute(data):
-    table = {d: n for n, d, _ in L.known_digests(L.KNOWN)}
+    table = {d: n for n, d, _ in L.all_known()}
     out = []
     for d, t in data:
         lines = L.canonical_lines(t or "")
-        for scope, unit, body in [("document", 0, " ".join(lines)), *(("line", i + 1, x) for i, x in enumerate(lines))]:
+        for scope, unit, body in [("document", 0, " ".join([x for x in lines if x not in L.TITLES] or lines)), *(("line", i + 1, x) for i, x in enumerate(lines))]:
             digest = hashlib.sha256(body.encode()).hexdigest()
             if digest in table and body:
                 out.append((d, scope, unit, table[digest], digest))
@@ -33,6 +36,9 @@ def test_against_plain_python_and_sql(spark):
     got = sorted((tuple(r) for r in L.license_scan(df).collect()), key=str)
     assert got == brute(data)
     assert {(g[0], g[1], g[3]) for g in got} >= {(0, "document", "MIT"), (1, "document", "MIT"), (4, "line", "Apache-2.0 (notice)"), (12, "line", "CC-BY-NC-4.0 (notice)"), (None, "document", "MIT")}
+    assert {(g[0], g[1], g[3]) for g in got} >= {(14, "document", "MIT"), (15, "document", "BSD-2-Clause"), (16, "document", "ISC"), (17, "document", "BSD-3-Clause")}
+    if Path("/usr/share/common-licenses/GPL-3").exists():
+        assert {g[3] for g in got if g[1] == "document"} >= {"Apache-2.0", "GPL-3.0", "MPL-2.0"}
     c = duckdb.connect()
     c.execute("create table documents(doc_id bigint, text varchar)")
     c.executemany("insert into documents values (?, ?)", data)

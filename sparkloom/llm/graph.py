@@ -2,11 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import Scratch
 
+#: Links that a task thins out at a time.
+THINNED = 250_000
+PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the links of a partition, those that connect what the ones before them don't: stars around the smallest node of
+    each group, a bounded number of links at a time."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := root.get(x, x)) != x:
+            root[x] = root.get(y, y)
+            x = y
+        return x
+
+    def stars() -> pa.RecordBatch:
+        pairs = [(x, find(x)) for x in root]
+        pairs = [p for p in pairs if p[0] != p[1]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*pairs, strict=True) if pairs else ([], []))], schema=PAIR)
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            p, q = find(a), find(b)
+            if p != q:
+                root[max(p, q)] = min(p, q)
+        if len(root) > THINNED:
+            yield stars()
+            root.clear()
+    yield stars()
+
 
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """edges(a, b): long ids. Returns node, root for every node with an edge; root is the smallest node reachable.
@@ -14,7 +48,7 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     Alternates the two star operations (large star: larger neighbours are hung on the smallest neighbour; small star:
     the node and its smaller neighbours are) until nothing changes; each halves the depth of chains at least. The
     smallest neighbour is a plain minimum, so a hub of a million links is summed before it is shuffled. Each round is
-    a written table."""
+    a written table. Before the first one, tasks thin out the links that they hold."""
 
     def oriented(df: DataFrame) -> DataFrame:
         return df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
@@ -23,6 +57,8 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
     now = scratch.table(oriented(edges), "edges")
+    thin = now.coalesce(max(1, now.count() // THINNED)).mapInArrow(forests, "a long, b long")
+    now = scratch.table(oriented(thin), "thinned")
     seen = print_of(now)
     for _ in range(rounds):
         if not seen[0]:

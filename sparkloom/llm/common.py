@@ -27,7 +27,7 @@ class Scratch:
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
         atexit.register(self.delete)
 
-    def table(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def table(self, df: DataFrame, name: str = "t", compression: str = "snappy") -> DataFrame:
         """Writes df and reads it again; the shuffle files behind it are dropped."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
@@ -35,7 +35,7 @@ class Scratch:
         before = self.spark.conf.get(CLEANUP, "false")
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.mode("overwrite").option("compression", "snappy").parquet(path)
+            df.write.mode("overwrite").option("compression", compression).parquet(path)
         finally:
             self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(schema).parquet(path)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import hmm, licenses, mixing, quality
+from sparkloom.llm.alignment import Alignment
 from sparkloom.llm.decontaminate import Leaks
 from sparkloom.llm.fingerprints import edited_fingerprints
 from sparkloom.llm.pii import personal_data
@@ -69,8 +70,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Alignment(documents(spark, sf_dir).select("doc_id", "text")).documents().drop("groups")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_fingerprints, op3_sharding, op4_simhash, op5_quality, op6_pii, op7_mixing, op8_decontaminate, op9_hmm, op10_licenses)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_fingerprints, op3_sharding, op4_simhash, op5_quality, op6_pii, op7_mixing, op8_decontaminate, op9_hmm, op10_licenses, op11_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import hmm, licenses, mixing, quality
+from sparkloom.llm import conversations, hmm, licenses, mixing, quality
 from sparkloom.llm.alignment import Alignment
 from sparkloom.llm.decontaminate import Leaks
 from sparkloom.llm.fingerprints import edited_fingerprints
@@ -74,9 +74,13 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Alignment(documents(spark, sf_dir).select("doc_id", "text")).documents().drop("groups")
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audited(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_fingerprints, op3_sharding, op4_simhash, op5_quality, op6_pii, op7_mixing, op8_decontaminate, op9_hmm, op10_licenses, op11_alignment)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_fingerprints, op3_sharding, op4_simhash, op5_quality, op6_pii, op7_mixing, op8_decontaminate, op9_hmm, op10_licenses, op11_alignment, op12_conversations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_licenses": licenses.oracle()}
+    return {"op10_licenses": licenses.oracle(), "op12_conversations": conversations.oracle()}

@@ -78,7 +78,7 @@ def test_empty(spark):
 
 
 def test_given_texts(spark):
-    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 3000").select("doc_id", "text")  # the plain version tries all pairs
     rows = df.collect()
     want, *_ = plain([r.text for r in rows])
     assert rows_of(A.Alignment(df).documents()) == sorted(((r.doc_id is None, r.doc_id or 0), *w) for r, w in zip(rows, want))

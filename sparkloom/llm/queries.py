@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import conversations, hmm, licenses, mixing, quality
+from sparkloom.llm import conversations, hmm, licenses, minhash, mixing, quality
 from sparkloom.llm.alignment import Alignment
 from sparkloom.llm.decontaminate import Leaks
 from sparkloom.llm.fingerprints import edited_fingerprints
@@ -78,8 +78,12 @@ def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.audited(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_fingerprints, op3_sharding, op4_simhash, op5_quality, op6_pii, op7_mixing, op8_decontaminate, op9_hmm, op10_licenses, op11_alignment, op12_conversations)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_fingerprints, op3_sharding, op4_simhash, op5_quality, op6_pii, op7_mixing, op8_decontaminate, op9_hmm, op10_licenses, op11_alignment, op12_conversations, op13_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:

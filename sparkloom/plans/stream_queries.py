@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.plans.registry import register
-from sparkloom.session import read_table
-from sparkloom.streaming import cdc, events
+from sparkloom.session import read_table, temporary_path
+from sparkloom.streaming import cdc, documents, events, outbox, polling, replay, series
 
 _UPLOADS = """(SELECT 'UPLOAD_' || (p_partkey % 25) AS upload_id, 'VEND' || (p_partkey % 5) AS vendor_id, p_partkey AS row_number, CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_name END AS product_name, p_brand AS category,
     CASE WHEN p_partkey % 17 = 0 THEN '' ELSE 'SKU' || (p_partkey // 2 * 2) END AS sku, CASE WHEN p_partkey % 11 = 0 THEN -1.0 WHEN p_partkey % 19 = 0 THEN 0.0 ELSE p_retailprice END AS price,
@@ -92,3 +92,118 @@ def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.sessions(read_table(spark, sf_dir, "events").select("user_id", "event_id", "ts"))
+
+
+# Streams of several batches: the event table in slices.
+
+SLICES, TTL = 4, 5 * 86_400
+_SLICED = f"(SELECT *, event_id * {SLICES} // (SELECT max(event_id) + 1 FROM events) AS slice FROM events)"
+_DELAYED = f"(SELECT *, CASE WHEN event_id % 17 = 0 THEN {SLICES - 1} ELSE slice END AS comes FROM {_SLICED})"
+
+
+def _sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events with the number of the batch they come in."""
+    rows = read_table(spark, sf_dir, "events")
+    size = rows.agg(F.max("event_id") + 1).first()[0] or 1
+    return rows.withColumns({"at": F.col("ts").cast("timestamp"), "slice": F.floor(F.col("event_id") * SLICES / F.lit(size)).cast("int")})
+
+
+def _delayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, but every seventeenth event comes in the last batch."""
+    return _sliced(spark, sf_dir).withColumn("slice", F.when(F.col("event_id") % 17 == 0, SLICES - 1).otherwise(F.col("slice")))
+
+
+_KIND = "CASE event_type WHEN 'signup' THEN 'created' WHEN 'click' THEN 'claimed' WHEN 'view' THEN 'stage' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'failed' ELSE 'retry' END END"
+
+
+def _next_state() -> str:
+    """One change in SQL: a (so far: s state, r retries, l last change, n changes), e (k kind, t time)."""
+    was = f"CASE WHEN a.s <> 'NONE' AND e.t - a.l > {TTL * 1_000_000} THEN 'NONE' ELSE a.s END"
+    tries = f"CASE WHEN a.s <> 'NONE' AND e.t - a.l > {TTL * 1_000_000} THEN 0 ELSE a.r END"
+    ok = f"CASE e.k WHEN 'created' THEN {was} = 'NONE' WHEN 'claimed' THEN {was} = 'PENDING' WHEN 'retry' THEN {was} = 'FAILED' AND {tries} < {documents.MOST_RETRIES} ELSE {was} = 'IN_PROGRESS' END"
+    after = "CASE e.k WHEN 'created' THEN 'PENDING' WHEN 'claimed' THEN 'IN_PROGRESS' WHEN 'stage' THEN 'IN_PROGRESS' WHEN 'completed' THEN 'COMPLETED' WHEN 'failed' THEN 'FAILED' ELSE 'PENDING' END"
+    return f"""{{'k': '', 't': 0::BIGINT, 's': CASE WHEN {ok} THEN {after} ELSE {was} END, 'r': CASE WHEN {ok} AND e.k = 'retry' THEN {tries} + 1 ELSE {tries} END,
+        'l': CASE WHEN {ok} THEN e.t ELSE a.l END, 'n': CASE WHEN {ok} THEN a.n + 1 ELSE a.n END}}"""
+
+
+_LIVES = f"""(SELECT user_id, list_reduce(list_concat([{{'k': '', 't': 0::BIGINT, 's': 'NONE', 'r': 0::BIGINT, 'l': 0::BIGINT, 'n': 0::BIGINT}}], list(x ORDER BY x.t, id)), lambda a, e: {_next_state()}) AS z
+    FROM (SELECT user_id, event_id AS id, {{'k': {_KIND}, 't': epoch_us(ts), 's': 'NONE', 'r': 0::BIGINT, 'l': 0::BIGINT, 'n': 0::BIGINT}} AS x FROM events) GROUP BY user_id)"""
+
+
+@register(
+    f"""SELECT CAST(user_id AS VARCHAR) AS document_id, z.s AS status, CAST(z.r AS INT) AS retries, z.n AS changes FROM {_LIVES}
+    WHERE z.s <> 'NONE' AND (SELECT epoch_us(max(ts)) FROM events) - z.l <= {TTL * 1_000_000}"""
+)
+def document_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The states in which a stream of changes leaves its documents: one a user, whose events are the changes."""
+    rows, path = _sliced(spark, sf_dir), temporary_path(spark, "documents")
+    kind = F.expr(_KIND)
+    changes = rows.select(F.col("user_id").alias("document_id"), F.col("event_id").alias("change_id"), kind.alias("change"), F.when(kind == "stage", F.col("event_id").cast("string")).alias("stage"), "at", "slice")
+    documents.run(replay.sliced_stream(changes, "slice", SLICES), path, TTL)
+    now = rows.agg(F.max("at")).first()[0]
+    return documents.states(documents.audit_table(spark, path), now, TTL).select("document_id", "status", "retries", "changes")
+
+
+_CONTROL = "(SELECT CAST(o_orderkey AS VARCHAR) AS document_id, CASE o_orderstatus WHEN 'O' THEN 'PENDING' ELSE 'COMPLETED' END AS status, o_orderdate AS updated_at FROM orders)"
+
+
+@register(f"SELECT document_id, (r - 1) // 10 AS poll FROM (SELECT document_id, row_number() OVER (ORDER BY updated_at, document_id) AS r FROM {_CONTROL} WHERE status = 'PENDING') WHERE r <= 40")
+def polled_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four polls over the open orders as documents: ten claims each, the oldest first; the limit is the feature."""
+    orders = read_table(spark, sf_dir, "orders")
+    control = orders.select(F.col("o_orderkey").cast("string").alias("document_id"), F.when(F.col("o_orderstatus") == "O", "PENDING").otherwise("COMPLETED").alias("status"), F.col("o_orderdate").alias("updated_at"))
+    polls = polling.Polls(spark, temporary_path(spark, "polls"), lambda: control, "one")
+    polls.run(lambda claimed, n: None, 4, interval=0.05)
+    return polls.claims().select("document_id", "poll")
+
+
+@register(
+    f"""SELECT slice AS batch, unnest(['rows', 'errors', 'total']) AS metric, unnest([count(*)::DOUBLE, count(*) FILTER (event_type = 'error')::DOUBLE, sum(CAST(value AS DECIMAL(18,6)))::DOUBLE]) AS value FROM {_SLICED} GROUP BY slice"""
+)
+def step_metric_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a step of a stream counts of each batch, read back from the table that a listener appends to."""
+    stream = replay.sliced_stream(_sliced(spark, sf_dir), "slice", SLICES)
+    counted = series.observed(stream, "read", rows=F.count(F.lit(1)), errors=F.count_if(F.col("event_type") == "error"), total=F.sum(F.col("value").cast("decimal(18,6)")))
+    with series.Series(spark, temporary_path(spark, "series")) as gathered:
+        replay.drained(counted, temporary_path(spark, "series-state"), lambda batch, n: batch.write.format("noop").mode("overwrite").save())
+    return gathered.table().where("step = 'read'").select("batch", "metric", "value")
+
+
+#: A row is late if its day has ended an hour before the largest time of the batches up to the last but one.
+_MARKS = f"(SELECT comes, max(epoch_ms(ts)) AS most FROM {_DELAYED} GROUP BY 1)"
+_JUDGED_LATE = f"""(SELECT d.*, epoch_ms(date_trunc('day', ts)) + 86400000 <= coalesce((SELECT max(most) FROM {_MARKS} m WHERE m.comes <= d.comes - 2), 0) - 3600000 AS late FROM {_DELAYED} d)"""
+
+
+@register(f"SELECT event_id, user_id, CAST(comes AS INT) AS slice FROM {_JUDGED_LATE} WHERE late")
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that come behind the watermark."""
+    stream = replay.sliced_stream(_delayed(spark, sf_dir), "slice", SLICES)
+    return events.late_rows(stream, temporary_path(spark, "late")).select("event_id", "user_id", "slice")
+
+
+@register(
+    f"""SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n, sum(CAST(value AS DECIMAL(18,6)))::DOUBLE AS total FROM {_JUDGED_LATE}
+    WHERE NOT late AND epoch_ms(date_trunc('day', ts)) + 86400000 <= (SELECT max(most) FROM {_MARKS}) - 3600000 GROUP BY 1, 2"""
+)
+def stream_closed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days in append mode: only those that the watermark has passed, without the rows that came behind it."""
+    stream = replay.sliced_stream(_delayed(spark, sf_dir), "slice", SLICES)
+    done = events.closed_windows(stream, temporary_path(spark, "windows"))
+    return done.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@register(
+    f"""SELECT 'error' AS kind, CAST(event_id AS VARCHAR) AS key, '{{"user":' || user_id || ',"event":' || event_id || '}}' AS body, slice AS batch FROM {_SLICED} WHERE event_type = 'error'
+    UNION ALL SELECT 'metric', 'events', '{{"n":' || count(*) || '}}', slice FROM {_SLICED} GROUP BY slice"""
+)
+def outbox_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A message for each error and a metric for each batch of the event stream, each there once."""
+    out = outbox.Outbox(spark, temporary_path(spark, "outbox"))
+
+    def put(batch: DataFrame, n: int) -> None:
+        errors = batch.where("event_type = 'error'").select(*outbox.message("error", F.col("event_id"), F.struct(F.col("user_id").alias("user"), F.col("event_id").alias("event"))))
+        metric = batch.agg(F.count("*").alias("n")).select(*outbox.message("metric", F.lit("events"), F.struct("n")))
+        out.put(errors.unionByName(metric), n)
+
+    replay.drained(replay.sliced_stream(_sliced(spark, sf_dir), "slice", SLICES), temporary_path(spark, "outbox-state"), put)
+    return out.messages().select("kind", "key", "body", "batch")

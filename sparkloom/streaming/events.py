@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators.mutations import keep_last
-from sparkloom.session import shared_dir
+from sparkloom.session import temporary_path
+from sparkloom.streaming.replay import drained
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 8) -> DataFrame:
@@ -30,7 +29,7 @@ def run_to_table(stream: DataFrame, keys: list[str], mode: str = "update") -> Da
     """Runs a stream over all there is. Each batch is written with its number, so a batch that is repeated after a failure
     overwrites itself; the last state of each key counts."""
     spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    root = temporary_path(spark, "stream")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/data/batch={number}")
@@ -70,6 +69,35 @@ def session_stream(stream: DataFrame, gap: str = "1 hour", late: str = "1 day")
     return counts.select("user_id", F.unix_timestamp("w.start").alias("begin"), "n")
 
 
-def step_metrics(stream: DataFrame, step: str) -> DataFrame:
-    """Counters that each batch reports under a name, as observed metrics: rows, and rows without a value."""
-    return stream.observe(step, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("value").isNull()).alias("without_value"))
+#: Late rows of a batch are judged by the watermark that the batch before it began with: rows of the last batch but one and
+#: of those before it have moved it.
+LAG = 2
+
+
+def closed_windows(stream: DataFrame, path: str, width: str = "1 day", delay: str = "1 hour") -> DataFrame:
+    """Counts and sums by window and type in append mode: a window comes once, when the watermark has passed its end, and
+    rows behind the watermark don't count."""
+    counts = stream.withWatermark("at", delay).groupBy(F.window("at", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,6)")).cast("double").alias("total"))
+    rows = counts.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
+    drained(rows, f"{path}/windows-state", lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/windows/batch={n}"))
+    return stream.sparkSession.read.schema(rows.schema).parquet(f"{path}/windows/batch=*")
+
+
+def late_rows(stream: DataFrame, path: str, width_seconds: int = 86_400, delay_seconds: int = 3_600) -> DataFrame:
+    """The rows that closed_windows() leaves out as late, all columns: a side table, written by batch beside each batch's
+    largest time, of which the watermark of later batches is made."""
+    spark = stream.sparkSession
+    marks = "batch_number long, most long"
+
+    def put(batch: DataFrame, n: int) -> None:
+        passed = None
+        if n >= LAG:
+            known = spark.read.schema(marks).parquet(f"{path}/marks/batch=*").where(F.col("batch_number") <= n - LAG)
+            passed = known.agg(F.max("most")).first()[0]
+        end = (F.floor(F.unix_millis("at") / (width_seconds * 1000)) + 1) * (width_seconds * 1000)
+        late = F.lit(False) if passed is None else end <= passed - delay_seconds * 1000
+        batch.where(late).write.mode("overwrite").parquet(f"{path}/late/batch={n}")
+        batch.agg(F.lit(n).cast("long").alias("batch_number"), F.max(F.unix_millis("at")).alias("most")).write.mode("overwrite").parquet(f"{path}/marks/batch={n}")
+
+    drained(stream, f"{path}/late-state", put)
+    return spark.read.schema(stream.schema).parquet(f"{path}/late/batch=*")

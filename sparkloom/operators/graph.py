@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.session import written
+
 RECORD = (
     "id string, title string, conditions array<string>, drugs array<struct<name:string,type:string>>, sponsor struct<name:string,class:string>, cros array<string>, "
     "sites array<struct<name:string,city:string,country:string>>, outcomes array<struct<measure:string,time_frame:string>>, population struct<sex:string,minimum_age:string>, mesh array<string>"
@@ -21,6 +24,67 @@ def parse_records(raw: DataFrame) -> DataFrame:
     return raw.select(F.from_json("json", RECORD).alias("r")).where("r.id is not null").select("r.*")
 
 
+#: Where a study's entities lie in the JSON of the registry's interface.
+SECTIONS = {
+    "ident": "protocolSection.identificationModule", "status": "protocolSection.statusModule", "design": "protocolSection.designModule", "arms": "protocolSection.armsInterventionsModule",
+    "sponsor": "protocolSection.sponsorCollaboratorsModule", "population": "protocolSection.eligibilityModule", "places": "protocolSection.contactsLocationsModule",
+    "outcomes": "protocolSection.outcomesModule", "conditions": "protocolSection.conditionsModule", "conditionMesh": "derivedSection.conditionBrowseModule", "interventionMesh": "derivedSection.interventionBrowseModule",
+}
+
+
+def parse_trials(raw: DataFrame, json: str = "json") -> DataFrame:
+    """The ten entity groups of studies as the registry gives them, by paths into a VARIANT, so that fields of any other shape,
+    or none at all, do no harm: trial, conditions, interventions, lead_sponsor, collaborators, locations, primary_outcomes,
+    secondary_outcomes, patient_population, mesh_terms. What is no JSON object gives no row; lists that are absent are
+    empty; entries without a name are left out of collaborators and terms."""
+    v = raw.select(F.try_parse_json(json).alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
+
+    def at(section: str, path: str, kind: str = "string") -> Column:
+        return F.try_variant_get("v", f"$.{SECTIONS[section]}.{path}", kind)
+
+    def many(section: str, path: str, each, kind: str) -> Column:
+        return F.coalesce(F.transform(at(section, path, "array<variant>"), each), F.array().cast(f"array<{kind}>"))
+
+    def fields(**paths: str):
+        return lambda x: F.struct(*[F.try_variant_get(x, f"$.{p}", "string").alias(n) for n, p in paths.items()])
+
+    named = lambda c: F.filter(c, lambda x: F.coalesce(x, F.lit("")) != "")
+    text = lambda path: lambda x: F.try_variant_get(x, f"$.{path}", "string")
+    plain = lambda x: x.cast("string")
+    empty = lambda x, *keys: F.struct(*[(F.coalesce(x[k], F.lit("")) if k in keys else x[k]).alias(k) for k in ("measure", "description", "timeFrame")])
+    outcome = lambda kind: lambda x: F.struct(empty(fields(measure="measure", description="description", timeFrame="timeFrame")(x), "description", "timeFrame").alias("o"), F.lit(kind).alias("type"))
+    flat = lambda c: F.transform(c, lambda x: F.struct(x["o"]["measure"].alias("measure"), x["o"]["description"].alias("description"), x["o"]["timeFrame"].alias("timeFrame"), x["type"].alias("type")))
+    outcomes = "struct<o:struct<measure:string,description:string,timeFrame:string>,type:string>"
+    dates = {"startDate": "startDateStruct.date", "primaryCompletionDate": "primaryCompletionDateStruct.date", "completionDate": "completionDateStruct.date"}
+    trial = F.struct(
+        *[at("ident", c).alias(c) for c in ("nctId", "briefTitle", "officialTitle", "acronym")], at("status", "overallStatus").alias("overallStatus"), *[at("status", p).alias(c) for c, p in dates.items()],
+        *[at("status", c).alias(c) for c in ("studyFirstSubmitDate", "lastUpdateSubmitDate", "statusVerifiedDate")], F.array_join(many("design", "phases", plain, "string"), ", ").alias("phase"),
+        at("design", "enrollmentInfo.count", "long").alias("enrollmentCount"), at("design", "enrollmentInfo.type").alias("enrollmentType"),
+    )
+    people = F.struct(
+        at("population", "eligibilityCriteria").alias("eligibilityCriteria"), at("population", "sex").alias("gender"), at("population", "minimumAge").alias("minimumAge"), at("population", "maximumAge").alias("maximumAge"),
+        many("population", "stdAges", plain, "string").alias("stdAges"), F.coalesce(at("population", "healthyVolunteers"), F.lit("")).alias("healthyVolunteers"),
+    )
+    place = fields(facility="facility", city="city", country="country", zip="zip", lat="geoPoint.lat", lon="geoPoint.lon")
+    return v.select(
+        trial.alias("trial"), many("conditions", "conditions", plain, "string").alias("conditions"), many("arms", "interventions", fields(name="interventionName", type="interventionType"), "struct<name:string,type:string>").alias("interventions"),
+        at("sponsor", "leadSponsor.name").alias("lead_sponsor"), named(many("sponsor", "collaborators", text("name"), "string")).alias("collaborators"),
+        many("places", "locations", place, "struct<facility:string,city:string,country:string,zip:string,lat:string,lon:string>").alias("locations"),
+        flat(many("outcomes", "primaryOutcomes", outcome("primary"), outcomes)).alias("primary_outcomes"), flat(many("outcomes", "secondaryOutcomes", outcome("secondary"), outcomes)).alias("secondary_outcomes"),
+        people.alias("patient_population"), named(F.concat(many("conditionMesh", "meshes", text("term"), "string"), many("interventionMesh", "meshes", text("term"), "string"))).alias("mesh_terms"),
+    )
+
+
+def trial_records(trials: DataFrame) -> DataFrame:
+    """parse_trials() as records for nodes() and edges(); a study without an id is left out."""
+    outcomes = F.transform(F.concat("primary_outcomes", "secondary_outcomes"), lambda o: F.struct(o["measure"].alias("measure"), o["timeFrame"].alias("time_frame")))
+    return trials.where("trial.nctId is not null").select(
+        F.col("trial.nctId").alias("id"), F.col("trial.briefTitle").alias("title"), "conditions", F.col("interventions").alias("drugs"), F.struct(F.col("lead_sponsor").alias("name"), F.lit(None).cast("string").alias("class")).alias("sponsor"),
+        F.col("collaborators").alias("cros"), F.transform("locations", lambda x: F.struct(x["facility"].alias("name"), x["city"].alias("city"), x["country"].alias("country"))).alias("sites"), outcomes.alias("outcomes"),
+        F.struct(F.col("patient_population.gender").alias("sex"), F.col("patient_population.minimumAge").alias("minimum_age")).alias("population"), F.col("mesh_terms").alias("mesh"),
+    )
+
+
 def _name(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
@@ -81,3 +145,78 @@ def label_counts(all_nodes: DataFrame) -> DataFrame:
 def duplicate_keys(all_nodes: DataFrame) -> DataFrame:
     """What a uniqueness constraint would refuse."""
     return all_nodes.groupBy("label", "key").count().where("count > 1")
+
+
+def reached(roots: DataFrame, table: DataFrame, key: str, parent: str, level: str, most: int = 1000) -> DataFrame:
+    """roots(key, parent, level) and all rows of table(key, parent) below them, with their level: a join a level, each level
+    written, until one is empty. A chain deeper than ``most`` is an error, as a cycle would never end."""
+    out = now = written(roots, "level")
+    for _ in range(most):
+        above = now.select(F.col(key).alias(parent), (F.col(level) + 1).alias(level))
+        now = written(table.join(above, parent).select(key, parent, level), "level")
+        if now.isEmpty():
+            return out
+        out = out.unionByName(now)
+    raise ValueError(f"deeper than {most} levels: is there a cycle?")
+
+
+#: Partitions of a kept graph.
+BUCKETS = 64
+NODE, EDGE = "label string, key string, props map<string,string>", "src string, rel string, dst string"
+
+
+class KeptGraph:
+    """Node and edge tables under a path, merged with what comes, batch by batch; only the partitions of the keys that come
+    are read and written again.
+
+    A merge is by key: of several properties of a node those last in the order of their JSON stay, and an edge is there once.
+    So batches may come in any order, and be repeated: after a failure in the middle of a merge, repeat its batch."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.buckets = spark, path, buckets
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(f"{schema}, bucket int").parquet(f"{self.path}/{name}")
+        except AnalysisException:  # nothing was merged yet
+            return self.spark.createDataFrame([], f"{schema}, bucket int")
+
+    def nodes(self) -> DataFrame:
+        return self._table("nodes", NODE).drop("bucket")
+
+    def edges(self) -> DataFrame:
+        return self._table("edges", EDGE).drop("bucket")
+
+    def _merge(self, name: str, schema: str, rows: DataFrame, keys: list[str]) -> None:
+        own = written(rows.select(*[c.split()[0] for c in schema.split(", ")], F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int").alias("bucket")), "merge")
+        touched = [r[0] for r in own.select("bucket").distinct().collect()]  # at most as many as there are partitions
+        if not touched:
+            return
+        both = self._table(name, schema).where(F.col("bucket").isin(touched)).unionByName(own)
+        rest = [c for c in both.columns if c not in (*keys, "bucket")]
+        best = [F.max_by(c, F.to_json(c)).alias(c) for c in rest]
+        merged = both.groupBy(*keys, "bucket").agg(*best) if best else both.distinct()
+        merged = written(merged.select(both.columns), "merged")  # what is read can't be overwritten
+        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/{name}")
+
+    def merge(self, new_nodes: DataFrame, new_edges: DataFrame) -> None:
+        self._merge("nodes", NODE, new_nodes, ["label", "key"])
+        self._merge("edges", EDGE, new_edges, ["src", "rel", "dst"])
+
+
+def match(all_nodes: DataFrame, all_edges: DataFrame, start: tuple[str, str], *steps: tuple[str, str, str, str]) -> DataFrame:
+    """The ways through a graph that fit a pattern. start is (name, label); a step is (relation, direction, name, label) with
+    the direction ">" or "<". Gives the keys of the named nodes, a row for each way; a name that comes again must meet the
+    same node. A step is a join with the edges of its relation and one with the nodes of its label."""
+    name, label = start
+    of = lambda label: all_nodes.where(F.col("label") == label)
+    found, last = of(label).select(F.col("key").alias(name)), name
+    for rel, direction, name, label in steps:
+        near, far = ("src", "dst") if direction == ">" else ("dst", "src")
+        known = name in found.columns
+        hop = all_edges.where(F.col("rel") == rel).select(F.col(near).alias("__near"), F.col(far).alias("__far"))
+        hop = hop.join(of(label).select(F.col("key").alias("__far")), "__far", "left_semi")
+        found = found.join(hop, F.col(last) == F.col("__near")).drop("__near")
+        found = found.where(F.col(name) == F.col("__far")).drop("__far") if known else found.withColumnRenamed("__far", name)
+        last = name
+    return found

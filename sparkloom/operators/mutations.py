@@ -96,3 +96,31 @@ def with_duration(uploads: DataFrame) -> DataFrame:
     """What the duration trigger keeps: whole seconds from start to completion, where both are known."""
     took = (F.col("processing_completed_at").cast("timestamp").cast("double") - F.col("processing_started_at").cast("timestamp").cast("double"))
     return uploads.withColumn("processing_duration_seconds", F.coalesce(F.round(took).cast("int"), F.col("processing_duration_seconds")))
+
+
+def transacted(table: DataFrame, items: DataFrame, key: str, request: str = "request_id") -> tuple[DataFrame, DataFrame]:
+    """Requests of several writes, each applied whole or not at all. items(request, key, op, expects, holds, columns) say for each
+    key of a request: op put, update, delete or check; what it expects of the row (exists, absent or null); ``holds``,
+    a condition that was judged on the row (null: none); the columns of the table, null in an update where they stay.
+
+    All items are judged against the same table. A request is refused if an item's expectation fails, if it names a key twice,
+    or if one with a smaller id writes a key that it names. Returns the table after one commit of all accepted requests, and
+    (request, accepted, reason)."""
+    present = table.select(key, F.lit(True).alias("__there"), F.struct(*table.columns).alias("__row"))
+    writes = items.where("op <> 'check'").groupBy(key).agg(F.min(request).alias("__first"))
+    seen = items.join(present, key, "left").join(writes, key, "left")
+    times = seen.withColumn("__times", F.count("*").over(Window.partitionBy(request, key)))
+    there = F.coalesce("__there", F.lit(False))
+    missing = (F.col("op").isin("update", "delete") | (F.col("expects") == "exists")) & ~there
+    reason = (
+        F.when(F.col("__times") > 1, "key named twice").when(missing, "no such row").when((F.col("expects") == "absent") & there, "row exists")
+        .when(F.col("holds").isNotNull() & ~F.col("holds"), "condition fails").when(F.col("__first") < F.col(request), "conflict")
+    )
+    judged = times.withColumn("__reason", reason).groupBy(request).agg(F.min("__reason").alias("reason"))
+    outcomes = judged.select(request, F.col("reason").isNull().alias("accepted"), "reason")
+    won = items.where("op <> 'check'").join(outcomes.where("accepted"), request, "left_semi")
+    rest = [c for c in table.columns if c != key]
+    changes = won.select(key, F.col("op").alias("__op"), *[F.col(c).alias(f"__{c}") for c in rest])
+    both = table.join(changes, key, "full_outer").where("__op is null or __op <> 'delete'")
+    after = both.select(*[F.col(c) if c == key else F.when(F.col("__op") == "put", F.col(f"__{c}")).otherwise(F.coalesce(f"__{c}", c)).alias(c) for c in table.columns])
+    return after, outcomes

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import document_queries, enrichment_queries, extraction_queries, index_queries, relational_queries, search_queries, store_queries, stream_queries  # noqa: F401
+from sparkloom.plans import change_queries, document_queries, enrichment_queries, extraction_queries, index_queries, relational_queries, search_queries, store_queries, stream_queries  # noqa: F401
 from sparkloom.plans.registry import ENTRIES, Query
 
 

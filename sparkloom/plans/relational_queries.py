@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators import mutations
+from sparkloom.operators.graph import reached
 from sparkloom.plans.registry import register, register_sql
 from sparkloom.session import read_table
 
@@ -134,41 +135,46 @@ register_sql("pending_oldest_first", "SELECT o_orderkey, o_orderdate FROM orders
 
 register_sql(
     "orders_with_customers",
-    """SELECT o.o_orderkey, o.o_orderdate, o.o_totalprice, c.c_name, c.c_mktsegment FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
-    WHERE c.c_custkey % 10 = 1 OR o.o_totalprice > 100000""",
+    """SELECT o.o_orderkey, o.o_orderdate, o.o_totalprice, c.c_name, c.c_mktsegment FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey""",
 )
 register_sql(
     "product_catalog",
     """SELECT DISTINCT p.p_partkey, p.p_name, s.s_name, n.n_name, r.r_name FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
     JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
-    WHERE p.p_retailprice > 100 AND l.l_quantity > 40""",
+    WHERE p.p_retailprice > 100""",
 )
-register_sql(
-    "vendor_summary_literal",
+def _vendor_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier with what its lines and its nation's customers sum up to; each side is summed below the join."""
+    lines = read_table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(
+        F.count_distinct("l_partkey").alias("parts"), F.count_distinct(F.when(F.col("l_returnflag") == "R", F.col("l_partkey"))).alias("returned"), F.count("*").alias("lines")
+    )
+    buyers = read_table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("s_nationkey")).agg(F.count("*").alias("customers"), F.sum(cents("c_acctbal")).alias("balance"))
+    suppliers = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    joined = suppliers.join(lines, "s_suppkey", "left").join(buyers, "s_nationkey", "left")
+    return joined.na.fill(0, ["parts", "returned", "lines", "customers"])
+
+
+@register(
     """SELECT s.s_suppkey, COUNT(DISTINCT l.l_partkey) AS parts, COUNT(DISTINCT CASE WHEN l.l_returnflag = 'R' THEN l.l_partkey END) AS returned,
     COUNT(DISTINCT c.c_custkey) AS customers, CAST(SUM(CAST(c.c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS balance
-    FROM supplier s LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 48) l ON l.l_suppkey = s.s_suppkey
-    LEFT JOIN customer c ON c.c_nationkey = s.s_nationkey GROUP BY s.s_suppkey""",
+    FROM supplier s LEFT JOIN lineitem l ON l.l_suppkey = s.s_suppkey LEFT JOIN customer c ON c.c_nationkey = s.s_nationkey GROUP BY s.s_suppkey"""
 )
+def vendor_summary_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the summary over both joins gives, where every customer counts once for each line: the same sums, multiplied by
+    the lines, without the rows of the fan-out."""
+    fanned = (F.col("balance") * F.greatest("lines", F.lit(1))).cast("double").alias("balance")
+    return _vendor_sides(spark, sf_dir).select("s_suppkey", "parts", "returned", "customers", fanned)
 
 
 @register(
-    """WITH li AS (SELECT l_suppkey, COUNT(DISTINCT l_partkey) AS parts, COUNT(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_partkey END) AS returned FROM lineitem WHERE l_quantity > 48 GROUP BY 1),
+    """WITH li AS (SELECT l_suppkey, COUNT(DISTINCT l_partkey) AS parts, COUNT(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_partkey END) AS returned FROM lineitem GROUP BY 1),
     cu AS (SELECT c_nationkey, COUNT(*) AS customers, CAST(SUM(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS balance FROM customer GROUP BY 1)
     SELECT s_suppkey, coalesce(parts, 0) AS parts, coalesce(returned, 0) AS returned, coalesce(customers, 0) AS customers, balance
     FROM supplier LEFT JOIN li ON l_suppkey = s_suppkey LEFT JOIN cu ON c_nationkey = s_nationkey"""
 )
 def vendor_summary_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same summary without fan-out: each side is summed below the join."""
-    lines = read_table(spark, sf_dir, "lineitem").where("l_quantity > 48").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(
-        F.count_distinct("l_partkey").alias("parts"), F.count_distinct(F.when(F.col("l_returnflag") == "R", F.col("l_partkey"))).alias("returned")
-    )
-    buyers = read_table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("s_nationkey")).agg(
-        F.count("*").alias("customers"), F.sum(cents("c_acctbal")).cast("double").alias("balance")
-    )
-    suppliers = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return suppliers.join(lines, "s_suppkey", "left").join(buyers, "s_nationkey", "left").select("s_suppkey", zero("parts"), zero("returned"), zero("customers"), "balance")
+    """The same summary without fan-out."""
+    return _vendor_sides(spark, sf_dir).select("s_suppkey", "parts", "returned", "customers", F.col("balance").cast("double").alias("balance"))
 
 
 register_sql(
@@ -214,11 +220,11 @@ register_sql(
 
 
 @register(
-    """SELECT c_custkey, list(o_orderkey ORDER BY o_orderkey)::VARCHAR AS order_keys FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') ON o_custkey = c_custkey GROUP BY 1"""
+    """SELECT c_custkey, list(o_orderkey ORDER BY o_orderkey)::VARCHAR AS order_keys FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1"""
 )
 def customers_with_their_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A parent with the ordered list of its children; none gives a list of one null, as an outer join does."""
-    pending = read_table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_custkey", "o_orderkey")
+    pending = read_table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
     customers = read_table(spark, sf_dir, "customer").select("c_custkey")
     lists = customers.join(pending, F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey"))).alias("o"))
     text = F.array_join(F.transform("o", lambda s: F.coalesce(s["o_orderkey"].cast("string"), F.lit("NULL"))), ", ")
@@ -333,24 +339,30 @@ register_sql(
 # Set operations and recursion.
 
 register_sql("nations_of_both", "SELECT c_nationkey AS nation FROM customer WHERE c_acctbal > 5000 INTERSECT SELECT s_nationkey AS nation FROM supplier WHERE s_acctbal > 5000")
-register_sql("nations_of_customers_only", "SELECT c_nationkey AS nation FROM customer EXCEPT SELECT s_nationkey AS nation FROM supplier WHERE s_nationkey % 2 = 0")
+register_sql("nations_of_customers_only", "SELECT c_nationkey AS nation FROM customer EXCEPT SELECT s_nationkey AS nation FROM supplier WHERE s_acctbal > 9000")
 register_sql("distinct_status_pairs", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
-register_sql(
-    "category_tree",
-    """WITH RECURSIVE tree AS (SELECT p_partkey, CAST(NULL AS BIGINT) AS parent, 1 AS level FROM part WHERE p_partkey <= 3
-    UNION ALL SELECT p.p_partkey, t.p_partkey AS parent, t.level + 1 AS level FROM part p JOIN tree t ON (p.p_partkey - p.p_partkey % 4) / 4 = t.p_partkey WHERE p.p_partkey > 3 AND t.level < 6)
-    SELECT p_partkey, parent, level FROM tree""",
-)
+_TREE = """WITH RECURSIVE tree AS (SELECT p_partkey, CAST(NULL AS BIGINT) AS parent, 1 AS level FROM part WHERE p_partkey <= 3
+    UNION ALL SELECT p.p_partkey, t.p_partkey AS parent, t.level + 1 AS level FROM part p JOIN tree t ON (p.p_partkey - p.p_partkey % 4) / 4 = t.p_partkey WHERE p.p_partkey > 3)
+    SELECT p_partkey, parent, level FROM tree"""
+
+
+@register(_TREE)
+def category_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that the roots reach, however deep: a level is one join of the level before with the table."""
+    part = read_table(spark, sf_dir, "part").select("p_partkey", F.floor(F.col("p_partkey") / 4).alias("parent"))
+    tree = part.where("p_partkey <= 3").select("p_partkey", F.lit(None).cast("long").alias("parent"), F.lit(1).alias("level"))
+    return reached(tree, part.where("p_partkey > 3"), "p_partkey", "parent", "level")
+
 
 # Row changes.
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders")
-    return orders.where("o_orderkey % 5 = 0").select((F.col("o_custkey") * 2).alias("c_custkey"), F.concat(F.lit("order "), "o_orderkey").alias("c_name"), F.lit(7).alias("c_nationkey"), "o_orderkey")
+    return orders.select((F.col("o_custkey") * 2).alias("c_custkey"), F.concat(F.lit("order "), "o_orderkey").alias("c_name"), F.lit(7).alias("c_nationkey"), "o_orderkey")
 
 
-_CHANGES = "(SELECT o_custkey * 2 AS c_custkey, 'order ' || o_orderkey AS c_name, 7 AS c_nationkey, o_orderkey FROM orders WHERE o_orderkey % 5 = 0)"
+_CHANGES = "(SELECT o_custkey * 2 AS c_custkey, 'order ' || o_orderkey AS c_name, 7 AS c_nationkey, o_orderkey FROM orders)"
 
 
 @register(

@@ -493,9 +493,12 @@ def nested_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT n_nationkey AS a, r_name AS b FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_name LIKE '%A%'")
 def graph_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MATCH (a)-[:IN]->(b) WHERE a has an A, over node and edge tables."""
-    edge = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("src"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("dst"))
-    return edge.where(F.contains("name", F.lit("A"))).join(read_table(spark, sf_dir, "region"), F.col("dst") == F.col("r_regionkey")).select(F.col("src").alias("a"), F.col("r_name").alias("b"))
+    """(a:Nation)-[IN]->(b:Region) where a has an A."""
+    nations = read_table(spark, sf_dir, "nation").select(F.lit("Nation").alias("label"), F.col("n_nationkey").cast("string").alias("key"), "n_name", "n_regionkey")
+    regions = read_table(spark, sf_dir, "region").select(F.lit("Region").alias("label"), F.col("r_name").alias("key"), "r_regionkey")
+    edges = nations.join(regions.select(F.col("key").alias("dst"), "r_regionkey"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("key").alias("src"), F.lit("IN").alias("rel"), "dst")
+    nodes = nations.where(F.contains("n_name", F.lit("A"))).select("label", "key").unionByName(regions.select("label", "key"))
+    return graph.match(nodes, edges, ("a", "Nation"), ("IN", ">", "b", "Region")).select(F.col("a").cast("long").alias("a"), "b")
 
 
 # Evaluation.

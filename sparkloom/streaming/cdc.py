@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators.mutations import keep_last
 
+#: The fields of a product, which must be there, and their longest texts.
 PRODUCT = "vendor_product_id string, product_name string, category string, subcategory string, description string, sku string, brand string, price double, compare_at_price double, stock_quantity int, unit string, weight_kg double, dimensions_cm string, image_url string"
 REQUIRED = ("vendor_product_id", "product_name", "category", "sku", "price", "stock_quantity")
 LIMITS = {"product_name": 200, "description": 2000, "sku": 100, "brand": 100, "vendor_product_id": 100}
@@ -84,6 +85,7 @@ def validated(uploads: DataFrame, categories: DataFrame, products: DataFrame) ->
     return judged.select(*uploads.columns, "status", "error_type", "error_message")
 
 
+#: The columns of an error file.
 ERROR_COLUMNS = ("row_number", "record_id", "vendor_product_id", "product_name", "category", "sku", "price", "stock_quantity", "description", "error_type", "error_message")
 
 
@@ -131,6 +133,44 @@ def wire_value(tagged: Column) -> Column:
     return F.when(v["NULL"], F.lit(None).cast("string")).otherwise(F.coalesce(known, tagged))
 
 
+def nested_value(tagged: Column, depth: int = 4) -> Column:
+    """JSON text of a value whose parts are tagged with their types, of any shape up to a depth, as JSON text without tags: maps
+    in the order of their keys, sets sorted and each member once. An unknown tag, or what lies deeper, stays as it is; what
+    is no JSON is null."""
+    return _untagged(F.try_parse_json(tagged), depth)
+
+
+def _quoted(text: Column) -> Column:
+    whole = F.to_json(F.array(text))
+    return F.substring(whole, F.lit(2), F.length(whole) - 2)
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), with the value worked out once however often it is named."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _untagged(v: Column, depth: int) -> Column:
+    return _let(F.struct(F.try_variant_get(v, "$", "map<string,variant>").alias("parts"), v.alias("whole")), lambda x: _by_tag(x["parts"], x["whole"], depth))
+
+
+def _by_tag(parts: Column, whole: Column, depth: int) -> Column:
+    tag, inner = F.when(F.size(parts) == 1, F.element_at(F.map_keys(parts), 1)), F.element_at(F.map_values(parts), 1)
+    of = lambda kind: F.try_variant_get(inner, "$", kind)
+    listed = lambda c: F.concat(F.lit("["), F.array_join(c, ","), F.lit("]"))
+    numbers = F.array_sort(F.array_distinct(F.transform(of("array<string>"), lambda n: n.cast("decimal(38,10)"))))
+    out = F.when(tag == "S", _quoted(of("string"))).when(tag == "N", of("string")).when(tag == "BOOL", of("boolean").cast("string")).when(tag == "NULL", F.lit("null"))
+    out = out.when(tag == "SS", listed(F.transform(F.array_sort(F.array_distinct(of("array<string>"))), _quoted)))
+    out = out.when(tag == "NS", listed(F.transform(numbers, lambda n: F.rtrim(F.rtrim(n.cast("string"), F.lit("0")), F.lit(".")))))
+    if depth:
+        by_key = lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+        entries = F.array_sort(F.map_entries(of("map<string,variant>")), by_key)
+        member = lambda e: F.concat(_quoted(e["key"]), F.lit(":"), _untagged(e["value"], depth - 1))
+        out = out.when(tag == "M", F.concat(F.lit("{"), F.array_join(F.transform(entries, member), ","), F.lit("}")))
+        out = out.when(tag == "L", listed(F.transform(of("array<variant>"), lambda x: _untagged(x, depth - 1))))
+    return out.otherwise(F.to_json(whole))
+
+
 def written_back(records: DataFrame, judged: DataFrame, now: Column) -> DataFrame:
     """records(upload_id, record_id, status, error_reason, error_details, processed_at) with what was judged put in by key: the
     reason and details change only where there is one."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -255,22 +256,55 @@ def for_transport(text: str | None) -> str | None:
     return "".join(out)
 
 
+PROMPT_QUOTES = {"\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"', "\u2013": "-", "\u2014": "-"}
+
+
 def clean_prompt(text: str | None) -> str | None:
     """Compatible characters, straight quotes, Latin-1 only, single spaces."""
     if text is None:
         return None
-    quotes = {0x2018: "'", 0x2019: "'", 0x201C: '"', 0x201D: '"', 0x2013: "-", 0x2014: "-"}
-    plain = unicodedata.normalize("NFKD", text.translate(quotes))
+    plain = unicodedata.normalize("NFKD", text.translate(str.maketrans(PROMPT_QUOTES)))
     return " ".join("".join(c for c in plain if ord(c) <= 0xFF).split())
 
 
-def _mapped(f, text: Column) -> Column:
-    return F.pandas_udf(lambda values: values.map(f), "string")(text)
+#: Code points up to here are mapped one by one in the JVM; texts with others go through Python.
+TABLED = 0x3400
+#: Letters that join with their neighbours when a text is composed.
+JOINING = range(0x1100, 0x1200)
+
+
+@cache
+def _table(f) -> tuple[str, str]:
+    """The code points whose image under f is one character or none, and these images; those without one come last."""
+    images = {chr(c): f(chr(c)) for c in range(0x80, TABLED) if c not in JOINING and unicodedata.category(chr(c))[0] not in "MC"}
+    changed = {c: x for c, x in images.items() if x != c}
+    some = {c: x for c, x in changed.items() if len(x) == 1}
+    none = [c for c, x in changed.items() if not x]
+    return "".join([*some, *none]), "".join(some.values())
+
+
+def _mapped(f, text: Column, mapped: Column, python: Column) -> Column:
+    """mapped, or f(text) in Python for the texts that need it; the others aren't sent."""
+    sent = F.when(python, text)
+    return F.when(python, F.pandas_udf(lambda values: values.map(f, na_action="ignore"), "string")(sent)).otherwise(mapped)
+
+
+BEYOND = "[^\\x00-\\xff]"
 
 
 def transport_safe(text: Column) -> Column:
-    return _mapped(for_transport, text)
+    """for_transport(): texts with marks to compose, or with code points whose image isn't one character, go through Python."""
+    mapped = F.translate(text, *_table(for_transport))
+    return _mapped(for_transport, text, mapped, mapped.rlike(BEYOND) | text.rlike("\\p{M}"))
 
 
 def prompt_clean(text: Column) -> Column:
-    return _mapped(clean_prompt, text)
+    """clean_prompt(): by character, so only code points whose image isn't one character or none need Python."""
+    mapped = F.translate(text, *_table(_prompt_sign))
+    return _mapped(clean_prompt, text, F.trim(F.regexp_replace(mapped, "[\\t-\\r\\x1c-\\x20\\x85\\xa0]+", " ")), mapped.rlike(f"{BEYOND}|[\\u00a8\\u00af\\u00b4\\u00b8\\u00bc-\\u00be]"))
+
+
+def _prompt_sign(sign: str) -> str:
+    """clean_prompt() of a character, white space kept."""
+    plain = unicodedata.normalize("NFKD", PROMPT_QUOTES.get(sign, sign))
+    return "".join(c for c in plain if ord(c) <= 0xFF)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,23 +48,24 @@ def code_block(text: Column) -> Column:
     return F.when((F.length(trim_all(t)) >= 3) & looks, F.concat(F.lit("```"), language, F.lit("\n"), trim_all(t), F.lit("\n```")))
 
 
-def with_breadcrumbs(items: DataFrame) -> DataFrame:
+def with_breadcrumbs(items: DataFrame, deepest: int = 6) -> DataFrame:
     """items(doc_id, seq, type, level, text): breadcrumbs under which each item stands. A header of a level ends those of that
-    level and below; parents that were skipped aren't filled in. Carried across pages."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        crumbs: list[str] = []
-        out = []
-        for r in rows.itertuples():
-            if r.type == "header":
-                level = max(1, int(r.level))
-                crumbs = [*crumbs[: level - 1], r.text]
-            out.append(list(crumbs))
-        return pd.DataFrame({"doc_id": rows.doc_id, "seq": rows.seq, "breadcrumbs": out})
-
-    found = items.groupBy("doc_id").applyInPandas(fold, "doc_id long, seq int, breadcrumbs array<string>")
-    return items.join(found, ["doc_id", "seq"])
+    level and below; parents that were skipped aren't filled in. Carried across pages; levels beyond ``deepest`` count as it.
+
+    A header stands one place further than the one before it, but no further than its level. Counted from the first, the
+    t-th header's place is t + min(0, level - s) over all headers s up to it, which is a running minimum. A place's header
+    is the last one there, unless one of a smaller place came after it."""
+    order = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    header = F.col("type") == "header"
+    counted = items.withColumn("__t", F.count_if(header).over(order))
+    level = F.least(F.greatest(F.col("level").cast("long"), F.lit(1)), F.lit(deepest))
+    placed = counted.withColumn("__place", F.when(header, F.col("__t") + F.least(F.lit(0), F.min(F.when(header, level - F.col("__t"))).over(order))))
+    last = {p: F.max(F.when(F.col("__place") == p, F.struct(F.col("__t").alias("t"), F.col("text").alias("x")))).over(order) for p in range(1, deepest + 1)}
+    ended = {p: F.max(F.when(F.col("__place") < p, F.col("__t"))).over(order) for p in range(2, deepest + 1)}
+    rows = placed.withColumns({f"__l{p}": c for p, c in last.items()} | {f"__e{p}": c for p, c in ended.items()})
+    kept = [F.when(F.col("__l1").isNotNull(), F.array("__l1.x"))] + [F.when(F.col(f"__l{p}").isNotNull() & (F.coalesce(F.col(f"__e{p}"), F.lit(0)) < F.col(f"__l{p}.t")), F.array(f"__l{p}.x")) for p in range(2, deepest + 1)]
+    crumbs = F.concat(*[F.coalesce(k, F.array().cast("array<string>")) for k in kept])
+    return rows.select(*items.columns, crumbs.alias("breadcrumbs"))
 
 
 def heading_line(level: Column, text: Column) -> Column:

@@ -214,8 +214,8 @@ register_sql(
 register_sql(
     "full_outer_of_keys",
     """SELECT coalesce(c.c_nationkey, s.s_nationkey) AS nation, c.n AS customers, s.n AS suppliers FROM
-    (SELECT c_nationkey, COUNT(*) AS n FROM customer WHERE c_nationkey < 15 GROUP BY 1) c FULL JOIN
-    (SELECT s_nationkey, COUNT(*) AS n FROM supplier WHERE s_nationkey > 9 GROUP BY 1) s ON c.c_nationkey = s.s_nationkey""",
+    (SELECT c_nationkey, COUNT(*) AS n FROM customer WHERE c_acctbal < -900 GROUP BY 1) c FULL JOIN
+    (SELECT s_nationkey, COUNT(*) AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) s ON c.c_nationkey = s.s_nationkey""",
 )
 
 
@@ -304,20 +304,32 @@ register_sql(
     min(x) AS least, max(x) AS most FROM ranked GROUP BY 1"""
 )
 def order_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Upper median and quartiles: the elements at n/2, n/4 and 3n/4 of the sorted values, from 0."""
+    """Upper median and quartiles: the elements at n/2, n/4 and 3n/4 of the sorted values, from 0. Worked out on the counts of
+    distinct values, so the window over a brand grows with its values, not with its rows."""
+    values = read_table(spark, sf_dir, "part").groupBy("p_brand", F.col("p_retailprice").alias("x")).agg(F.count("*").alias("times"))
     w = Window.partitionBy("p_brand")
-    ranked = read_table(spark, sf_dir, "part").select("p_brand", F.col("p_retailprice").alias("x"), F.row_number().over(w.orderBy("p_retailprice")).alias("r"), F.count("*").over(w).alias("n"))
-    at = lambda e: F.max(F.when(F.col("r") == F.expr(e) + 1, F.col("x")))
+    ranked = values.withColumns({"upto": F.sum("times").over(w.orderBy("x")), "n": F.sum("times").over(w)})
+    at = lambda e: F.min(F.when(F.col("upto") > F.expr(e), F.col("x")))
     return ranked.groupBy("p_brand").agg(F.max("n").alias("n"), at("n div 2").alias("median"), at("n div 4").alias("p25"), at("(3 * n) div 4").alias("p75"), F.min("x").alias("least"), F.max("x").alias("most"))
 
 
 # Windows.
 
-register_sql(
-    "price_and_size_ranks",
+@register(
     """SELECT p_partkey, CAST(rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice) AS BIGINT) AS price_rank,
-    CAST(dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC) AS BIGINT) AS size_rank FROM part""",
+    CAST(dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC) AS BIGINT) AS size_rank FROM part"""
 )
+def price_and_size_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks within a brand, of which there are few at any size: from the counts of its distinct values, joined back."""
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice", "p_size")
+    before = Window.partitionBy("p_brand").orderBy("p_retailprice").rowsBetween(Window.unboundedPreceding, -1)
+    prices = part.groupBy("p_brand", "p_retailprice").agg(F.count("*").alias("times"))
+    prices = prices.select("p_brand", "p_retailprice", (F.coalesce(F.sum("times").over(before), F.lit(0)) + 1).alias("price_rank"))
+    sizes = part.select("p_brand", "p_size").distinct()
+    sizes = sizes.withColumn("size_rank", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_size"))).cast("long"))
+    return part.join(prices, ["p_brand", "p_retailprice"]).join(sizes, ["p_brand", "p_size"]).select("p_partkey", "price_rank", "size_rank")
+
+
 register_sql(
     "latest_orders_per_customer",
     """SELECT o_custkey, o_orderkey, rn FROM (SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS BIGINT) AS rn FROM orders) t WHERE rn <= 3""",

@@ -35,19 +35,23 @@ def chunk_json_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_chunk_json(spark, f"{at}/*", "k int, name string").select("k", "name")
 
 
-@register("SELECT 'c' || n_nationkey AS id, n_name AS text FROM nation")
+@register("SELECT 'c' || c_custkey AS id, c_name AS text FROM customer")
 def strict_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of fifty chunks."""
     at = temporary_path(spark, "strict")
-    rows = read_table(spark, sf_dir, "nation").select(F.concat(F.lit("c"), "n_nationkey").alias("id"), F.col("n_name").alias("text"), F.col("n_name").alias("content_only"), F.create_map(F.lit("a"), F.lit("b")).alias("metadata"))
-    rows.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).write.text(at)
+    chunk = F.struct(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_name").alias("text"), F.col("c_name").alias("content_only"), F.create_map(F.lit("a"), F.lit("b")).alias("metadata"))
+    files = read_table(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / 50)).agg(F.to_json(F.collect_list(chunk)).alias("value"))
+    files.select("value").write.option("maxRecordsPerFile", 1).text(at)
     return readers.read_strict_chunks(spark, f"{at}/*.txt", "id string, text string, content_only string, metadata map<string,string>").select("id", "text")
 
 
-@register("SELECT 'n' || n_nationkey AS chunk_id, 'nation' AS table_name, n_name AS text FROM nation WHERE n_nationkey % 4 > 0")
+@register("SELECT 'n' || c_custkey AS chunk_id, 'customer' AS table_name, c_name AS text FROM customer WHERE c_acctbal > 0")
 def knowledge_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of fifty chunks, of which those without a text are passed over."""
     at = temporary_path(spark, "knowledge")
-    rows = read_table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("chunk_id"), F.lit("nation").alias("table_name"), F.when(F.col("n_nationkey") % 4 > 0, F.col("n_name")).otherwise(" ").alias("text"))
-    rows.agg(F.to_json(F.struct(F.collect_list(F.struct("*")).alias("chunks"))).alias("value")).write.text(at)
+    chunk = F.struct(F.concat(F.lit("n"), "c_custkey").alias("chunk_id"), F.lit("customer").alias("table_name"), F.when(F.col("c_acctbal") > 0, F.col("c_name")).otherwise(" ").alias("text"))
+    files = read_table(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / 50)).agg(F.to_json(F.struct(F.collect_list(chunk).alias("chunks"))).alias("value"))
+    files.select("value").write.option("maxRecordsPerFile", 1).text(at)
     return readers.read_knowledge(spark, f"{at}/*.txt").select("chunk_id", "table_name", "text")
 
 
@@ -75,46 +79,44 @@ def bulk_loaded_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    """SELECT 'UPLOAD_7' AS upload_id, 'VEND' || p_size % 3 AS vendor_id, p_name AS product_name, CASE WHEN p_partkey % 5 > 0 THEN p_retailprice END AS price, CASE WHEN p_partkey % 4 > 0 THEN CAST(p_size AS INT) END AS stock_quantity FROM part"""
+    """SELECT 'UPLOAD_' || p_partkey // 100 AS upload_id, 'VEND' || p_size % 3 AS vendor_id, p_name AS product_name, CASE WHEN p_partkey % 5 > 0 THEN p_retailprice END AS price, CASE WHEN p_partkey % 4 > 0 THEN CAST(p_size AS INT) END AS stock_quantity FROM part"""
 )
 def vendor_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upload files of three vendors: empty prices, and stocks with a fraction or that are no number."""
     at = temporary_path(spark, "vendors")
-    rows = read_table(spark, sf_dir, "part")
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    files = hadoop.Path(at).getFileSystem(spark._jsc.hadoopConfiguration())
-    for v in range(3):
-        own = rows.where(F.col("p_size") % 3 == v).select(F.col("p_name").alias("product_name"), F.when(F.col("p_partkey") % 5 > 0, F.col("p_retailprice")).alias("price"), F.when(F.col("p_partkey") % 4 > 0, F.concat("p_size", F.lit(".9"))).otherwise("many").alias("stock_quantity"))
-        own.coalesce(1).write.option("header", True).csv(f"{at}/{v}")
-        for f in files.globStatus(hadoop.Path(f"{at}/{v}/part-*.csv")):
-            files.rename(f.getPath(), hadoop.Path(f"{at}/VEND{v}_7.csv"))
+    price, stock = F.when(F.col("p_partkey") % 5 > 0, F.col("p_retailprice").cast("string")).otherwise(""), F.when(F.col("p_partkey") % 4 > 0, F.concat("p_size", F.lit(".9"))).otherwise("many")
+    line = F.concat(F.lit('"'), "p_name", F.lit('",'), price, F.lit(","), stock)
+    named = F.format_string("VEND%d_%d.csv", F.col("p_size") % 3, F.floor(F.col("p_partkey") / 100))
+    files = read_table(spark, sf_dir, "part").groupBy(named.alias("name")).agg(F.collect_list(line).alias("lines"))
+    sinks.write_named_files(files.select("name", F.array_join(F.concat(F.array(F.lit("product_name,price,stock_quantity")), "lines"), "\n").alias("content")), at)
     return readers.read_vendor_csv(spark, f"{at}/VEND*.csv").select("upload_id", "vendor_id", "product_name", "price", "stock_quantity")
 
 
 def _written_pages(spark: SparkSession, sf_dir: str) -> str:
-    """page_1.md to page_25.md of a document, the nations' names in them."""
+    """Every document as a page: twenty to a folder, page_1.md to page_20.md, those with odd ids in Windows-1252."""
     at = temporary_path(spark, "pages")
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    files = hadoop.Path(at).getFileSystem(spark._jsc.hadoopConfiguration())
-    for r in read_table(spark, sf_dir, "nation").collect():
-        out = files.create(hadoop.Path(f"{at}/doc/pages/page_{r.n_nationkey + 1}.md"))
-        out.write(bytearray(f"# {r.n_name} é".encode("cp1252" if r.n_nationkey % 2 else "utf-8")))
-        out.close()
+    text, k = F.coalesce("text", F.lit("")), F.col("doc_id")
+    windows = F.concat(F.encode(F.regexp_replace(text, r"[^ -~\n]", ""), "UTF-8"), F.unhex(F.lit("20E9")))
+    content = F.when(k % 2 == 1, windows).otherwise(F.encode(text, "UTF-8"))
+    name = F.format_string("doc%d/pages/page_%d.md", F.floor(k / 20), k % 20 + 1)
+    sinks.write_named_files(read_table(spark, sf_dir, "documents").select(name.alias("name"), content.alias("content")), at)
     return at
 
 
-@register("SELECT 'doc' AS doc, CAST(n_nationkey + 1 AS INT) AS page, '# ' || n_name || ' é' AS text FROM nation")
+@register(
+    r"""SELECT 'doc' || doc_id // 20 AS doc, CAST(doc_id % 20 + 1 AS INT) AS page, CASE WHEN doc_id % 2 = 1 THEN regexp_replace(coalesce(text, ''), '[^ -~\n]', '', 'g') || ' é' ELSE coalesce(text, '') END AS text FROM documents"""
+)
 def markdown_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages in two encodings, numbered by their names."""
     return readers.read_markdown_pages(spark, _written_pages(spark, sf_dir)).select("doc", "page", "text")
 
 
-@register("SELECT 'page_' || (n_nationkey + 1) || '.md' AS page, row_number() OVER (ORDER BY 'page_' || (n_nationkey + 1) || '.md') AS n FROM nation")
+@register("SELECT 'doc' || doc_id // 20 AS doc, 'page_' || (doc_id % 20 + 1) || '.md' AS page, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY 'page_' || (doc_id % 20 + 1) || '.md') AS n FROM documents")
 def pages_in_lexical_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window  # noqa: PLC0415
 
     pages = readers.read_markdown_pages(spark, _written_pages(spark, sf_dir), natural=False)
-    return pages.select("page", F.row_number().over(Window.partitionBy("doc").orderBy("page")).cast("long").alias("n"))
+    return pages.select("doc", "page", F.row_number().over(Window.partitionBy("doc").orderBy("page")).cast("long").alias("n"))
 
 
 @register(
@@ -187,14 +189,14 @@ def filtered_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.scan(read_table(spark, sf_dir, "customer"), F.col("c_acctbal") > 5000, ["c_custkey", "c_name"])
 
 
-@register("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders) AND o_totalprice > 1000")
+@register("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders) AND o_totalprice > 1000 ORDER BY n LIMIT 50")
 def keyed_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One customer's orders, newest first, with a residual filter."""
+    """One customer's fifty newest orders, with a residual filter; the limit is the feature, and what is numbered is no more."""
     from pyspark.sql import Window  # noqa: PLC0415
 
     orders = read_table(spark, sf_dir, "orders")
     key = orders.agg(F.min("o_custkey")).first()[0]
-    found = readers.query(orders, "o_custkey", key, "o_orderdate", F.col("o_totalprice") > 1000, ascending=False)
+    found = readers.query(orders, "o_custkey", key, "o_orderdate", F.col("o_totalprice") > 1000, ascending=False).orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50)
     return found.select("o_orderkey", F.row_number().over(Window.orderBy(F.desc("o_orderdate"), "o_orderkey")).cast("long").alias("n"))
 
 

@@ -77,3 +77,23 @@ def pipeline_totals(control: DataFrame) -> DataFrame:
     """How many documents there are in each status, and of them those in which a stage failed."""
     failed = F.exists(F.map_values("stage_status"), lambda s: s == "FAILED")
     return control.groupBy("status").agg(F.count("*").alias("n"), F.count_if(failed).alias("with_failed_stage"))
+
+
+def write_named_files(rows: DataFrame, root: str) -> None:
+    """rows(name, content): a file for each row, under names that a writer of Spark's wouldn't give; written by the tasks. A
+    task that runs again writes the same files again."""
+
+    def put(part) -> None:
+        import pyarrow.fs as pafs  # noqa: PLC0415
+
+        fs, base = pafs.FileSystem.from_uri(root) if ":" in root else (pafs.LocalFileSystem(), root)
+        made = set()
+        for r in part:
+            folder = f"{base}/{r.name}".rsplit("/", 1)[0]
+            if folder not in made:
+                fs.create_dir(folder, recursive=True)
+                made.add(folder)
+            with fs.open_output_stream(f"{base}/{r.name}") as out:
+                out.write(bytes(r.content))
+
+    rows.select("name", F.col("content").cast("binary").alias("content")).foreachPartition(put)

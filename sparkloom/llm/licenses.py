@@ -2,13 +2,16 @@
 
 A text is put into a canonical form - lower case, one space for every run of signs, copyright lines dropped, equivalent
 spellings made the same - and the SHA-256 of the whole form is looked up in a table of known ones by a hash join. Units
-looked up are the whole document, without title lines and "all rights reserved" on a line of its own, and every line of it,
-as notices stand on lines of their own. Only units as long as some known text are hashed, which loses nothing.
+looked up are the whole document, without title lines and "all rights reserved" on a line of its own, every line of it,
+as notices stand on lines of their own, and every run of lines, as licenses stand in longer files. Only units as long as
+some known text are hashed, which loses nothing: a run ends where it begins plus that length, so the runs of a length are
+the ends of lines that are also begins of lines moved on by it, one hashed intersection a length.
 
 The table of known texts is a fixed list (a few kilobytes), so it is broadcast. Long licenses are in it by the digests of
-their published texts. A license of several lines within a longer document is not found: only whole texts are looked up.
+their published texts. Within a run, title lines and "all rights reserved" are part of the text, as nothing says which file they belong to.
 
-Defined results: null and empty texts match nothing; a document that repeats a notice has a row for each line; repeated
+Defined results: null and empty texts match nothing; a run is no single line and not the whole document, which have units of
+their own; of equal runs each counts; a document that repeats a notice has a row for each line; repeated
 rows and null doc_ids are reported like others.
 """
 
@@ -69,10 +72,20 @@ Permission is granted to anyone to use this software for any purpose, including
 KNOWN["BSD-3-Clause"] = KNOWN["BSD-2-Clause"].replace(
     "\nTHIS SOFTWARE", "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\nTHIS SOFTWARE"
 )
+KNOWN["BSD-3-Clause (Regents)"] = (
+    KNOWN["BSD-3-Clause"].replace("the copyright holder nor the names of its contributors", "the University nor the names of its contributors")
+    .replace("COPYRIGHT HOLDERS AND CONTRIBUTORS", "REGENTS AND CONTRIBUTORS").replace("COPYRIGHT HOLDER OR CONTRIBUTORS", "REGENTS OR CONTRIBUTORS")
+)
+# Fixed value: the dedication, as published.
+KNOWN["Unlicense"] = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org>"""
 # Lines that may stand over a license and change nothing in it, in canonical form.
 TITLES = (
     "mit license", "the mit license", "the mit license mit", "isc license", "the isc license", "bsd 2 clause license", "the 2 clause bsd license", "simplified bsd license",
-    "bsd 3 clause license", "the 3 clause bsd license", "new bsd license", "bsd zero clause license", "zero clause bsd", "zlib license", "the zlib license", "all rights reserved",
+    "bsd 3 clause license", "the 3 clause bsd license", "new bsd license", "bsd zero clause license", "zero clause bsd", "zlib license", "the zlib license", "all rights reserved", "the unlicense",
 )
 # Whole published texts, by the length and the SHA-256 of their canonical form.
 PUBLISHED = {
@@ -116,9 +129,31 @@ def all_known() -> list[tuple[str, str, int]]:
     return known_digests(KNOWN) + [(name, digest, length) for name, (length, digest) in PUBLISHED.items()]
 
 
+UNITS = "array<struct<scope:string,unit:int,body:string>>"
+#: Canonical characters of the shortest known text that is looked for in runs of lines.
+SHORTEST_RUN = 60
+
+
+def with_runs(docs: DataFrame, lengths: list[int]) -> DataFrame:
+    """docs(doc_id, lines, units) with the runs of lines of a known length added to the units. Ends are running sums of the
+    lines' lengths, made by a fold over the lines; one intersection of hashed sets finds the runs of a length."""
+    sums = F.aggregate("lines", F.array(F.lit(0)), lambda ends, x: F.concat(ends, F.array(F.element_at(ends, -1) + F.length(x) + 1)))
+    placed = docs.withColumn("joined", F.array_join("lines", " ")).withColumn("cuts", F.when((F.size("lines") > 1) & (F.length("joined") > min(lengths, default=1 << 30)), sums))
+    # a cut is where a line begins, and one more than where the line before it ends
+
+    def of_length(n: int):
+        hits = F.array_intersect("cuts", F.transform("cuts", lambda c: c + n + 1))
+        several = lambda e: (F.array_position("cuts", e) - F.array_position("cuts", e - n - 1) > 1) & (F.length("joined") > n)
+        unit = lambda e: F.struct(F.lit("lines").alias("scope"), F.array_position("cuts", e - n - 1).cast("int").alias("unit"), F.substring(F.col("joined"), e - n, F.lit(n)).alias("body"))
+        return F.when((F.size("cuts") > 2) & (F.size(hits) > 0), F.transform(F.filter(hits, several), unit)).otherwise(F.array().cast(UNITS))
+
+    found = [of_length(n) for n in lengths]
+    return placed.withColumn("units", F.concat("units", *found)).drop("joined", "cuts") if found else docs
+
+
 def license_scan(documents: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
-    """documents(doc_id, text). A row for each unit that is a known text: doc_id, scope ('document' or 'line'), unit (0, or
-    the line's number among lines that count, from 1), license, digest."""
+    """documents(doc_id, text). A row for each unit that is a known text: doc_id, scope ('document', 'line' or 'lines'), unit (0,
+    or the number of the line, or of the run's first, among lines that count, from 1), license, digest."""
     table = all_known() if known is None else known_digests(known)
     if len(table) > 100_000:
         raise ValueError("known texts are meant to be broadcast; join more than 100,000 by digest instead")
@@ -138,7 +173,7 @@ def license_scan(documents: DataFrame, known: dict[str, str] | None = None) -> D
         F.when(fits(whole), F.array(F.struct(F.lit("document").alias("scope"), F.lit(0).alias("unit"), whole.alias("body")))).otherwise(F.array().cast("array<struct<scope:string,unit:int,body:string>>")),
         F.filter(F.transform("lines", lambda x, i: F.struct(F.lit("line").alias("scope"), (i + 1).alias("unit"), x.alias("body"))), lambda u: fits(u["body"])),
     )
-    found = docs.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.scope", "u.unit", F.sha2(F.col("u.body"), 256).alias("digest"))
+    found = with_runs(docs.select("doc_id", "lines", units.alias("units")), [n for n in lengths if n >= SHORTEST_RUN]).select("doc_id", F.explode("units").alias("u")).select("doc_id", "u.scope", "u.unit", F.sha2(F.col("u.body"), 256).alias("digest"))
     return found.join(F.broadcast(small), "digest").select("doc_id", "scope", "unit", "license", "digest")
 
 
@@ -149,11 +184,16 @@ def oracle() -> str:
         flat = f"replace({flat}, '{a}', '{b}')"
     known = ", ".join(f"('{n}', '{d}')" for n, d, _ in all_known())
     titles = ", ".join(f"'{t}'" for t in TITLES)
+    sizes = ", ".join(f"({n})" for n in sorted({n for _, _, n in all_known() if n >= SHORTEST_RUN}))
     return f"""WITH known(license, digest) AS (VALUES {known}),
     raw AS (SELECT row_number() OVER () AS r, doc_id, {flat} AS flat FROM documents),
     cut AS (SELECT r, doc_id, string_split(flat, chr(10)) AS parts FROM raw),
     pieces AS (SELECT r, doc_id, unnest(parts) AS x, generate_subscripts(parts, 1) AS i FROM cut),
     kept AS (SELECT r, doc_id, i, trim(x, ' ') AS x FROM pieces WHERE trim(x, ' ') <> '' AND NOT regexp_matches(x, '{RIGHTS}')),
     units AS (SELECT doc_id, 'line' AS scope, CAST(row_number() OVER (PARTITION BY r ORDER BY i) AS INTEGER) AS unit, x AS body FROM kept
-      UNION ALL SELECT doc_id, 'document', 0, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (WHERE x NOT IN ({titles})), string_agg(x, ' ' ORDER BY i)) FROM kept GROUP BY r, doc_id)
-    SELECT doc_id, scope, unit, license, digest FROM units JOIN known ON digest = sha256(body)"""
+      UNION ALL SELECT doc_id, 'document', 0, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (WHERE x NOT IN ({titles})), string_agg(x, ' ' ORDER BY i)) FROM kept GROUP BY r, doc_id),
+    lined AS (SELECT r, doc_id, x, row_number() OVER (PARTITION BY r ORDER BY i) AS n, coalesce(sum(length(x) + 1) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM kept),
+    wholes AS (SELECT r, string_agg(x, ' ' ORDER BY n) AS joined FROM lined GROUP BY r),
+    runs AS (SELECT a.doc_id, 'lines' AS scope, CAST(a.n AS INTEGER) AS unit, substr(w.joined, CAST(a.s AS BIGINT) + 1, size) AS body FROM (VALUES {sizes}) t(size), lined a JOIN wholes w USING (r)
+      JOIN lined b ON b.r = a.r AND b.n > a.n AND b.s + length(b.x) = a.s + size WHERE length(w.joined) > size)
+    SELECT doc_id, scope, unit, license, digest FROM (FROM units UNION ALL BY NAME FROM runs) JOIN known ON digest = sha256(body)"""

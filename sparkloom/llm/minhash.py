@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,17 +42,16 @@ BINS, BANDS, ROWS = 256, 42, 6
 NEAR = 169
 QUERIES, HELD = 256, 4096
 EDGES = np.arange(BINS, dtype=U) << U(56)
-_BINS = np.arange(BINS)
 BAND_WORDS = random_words(53, BANDS)
 
 
-def probes(first: int, n: int) -> np.ndarray:
-    """Places first, first + 1, ... of the order in which each empty bin looks for a value."""
-    at = np.arange(first, first + n, dtype=U)[None, :] * U(BINS) + _BINS.astype(U)[:, None]
-    return (mix64(mix64(at + U(0x9E3779B97F4A7C15))) >> U(56)).astype(np.int64)
-
-
-FEW, MORE = probes(0, 16), probes(16, 496)
+@lru_cache(maxsize=8)
+def probes(k: int) -> np.ndarray:
+    """The order in which each empty bin looks for a value, a column a look: its first 16 looks, the next 240, then 4096 at a
+    time."""
+    first, n = ((0, 16), (16, 240))[k] if k < 2 else (256 + 4096 * (k - 2), 4096)
+    at = np.arange(first, first + n, dtype=U)[None, :] * U(BINS) + np.arange(BINS, dtype=U)[:, None]
+    return (mix64(mix64(at + U(0x9E3779B97F4A7C15))) >> U(56)).astype(np.uint8)
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -60,13 +60,15 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     full = np.append(at[1:], len(hashes)) > at
     out = np.zeros(BINS, U)
     out[full] = hashes[at[full]]
-    empty, table, first = np.flatnonzero(~full), FEW, 0
+    empty, k = np.flatnonzero(~full), 0
     while len(empty):
-        hit = full[table[empty]]
-        got = hit.any(axis=1)
-        out[empty[got]] = out[table[empty[got], hit[got].argmax(axis=1)]]
-        empty, first = empty[~got], first + table.shape[1]
-        table = MORE if first == FEW.shape[1] else probes(first, 4096)
+        looks = probes(k)[empty]
+        hit = full[looks]
+        at = hit.argmax(axis=1)
+        row = np.arange(len(empty))
+        got = hit[row, at]
+        out[empty[got]] = out[looks[row[got], at[got]]]
+        empty, k = empty[~got], k + 1
     return out
 
 

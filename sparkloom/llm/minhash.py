@@ -10,11 +10,14 @@ Candidates stay near linear in the texts, and yet no link is lost:
 1. Equal sets are one class, buckets with equal members are one bucket.
 2. Stars: in a bucket every class is a candidate of the bucket's smallest class only. Each class is confirmed against the
    head that its sketch (a byte a bin) is nearest to: one pair a class at most. What is confirmed makes components.
-3. Buckets whose members are in several components: every pair of different components is a candidate whose sketches do not
-   rule it out (``NEAR`` agreeing bins, five deviations under 0.8). One component of a bucket, the largest, is compared with
-   the others only; tasks hold at most some ``QUERIES`` classes against ``HELD`` others.
+3. Buckets whose members are in several components: every pair of different components is looked at where the bucket lies,
+   unless their sketches rule it out (``NEAR`` agreeing bins, five deviations under 0.8), on sets of four bytes a shingle:
+   these can only make a pair look nearer than it is. One component of a bucket, the largest, is compared with the others
+   only; tasks hold at most some ``QUERIES`` classes against ``HELD`` others, and send on a forest of what they find. Pairs
+   themselves, whose number may be the square of a family's, are never rows.
 
-All candidates of either step are confirmed on their full sets.
+All candidates of either step are confirmed on their full sets. Should one of the forests of step 3 fail there, the step
+is repeated with all that it finds instead of forests, so no link hides behind the one that failed.
 
 Defined results: texts without words are linked with nothing and are their own component; texts with fewer words than a
 shingle have one, of all their words; equal sets are linked. A null doc_id never names a component unless all of it are
@@ -40,7 +43,7 @@ U = np.uint64
 BINS, BANDS, ROWS = 256, 42, 6
 #: Agreeing bins of BINS from which a pair is confirmed on its sets.
 NEAR = 169
-QUERIES, HELD = 256, 4096
+QUERIES, HELD = 256, 1024
 EDGES = np.arange(BINS, dtype=U) << U(56)
 BAND_WORDS = random_words(53, BANDS)
 
@@ -134,12 +137,69 @@ def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(scan, "a long, b long, bins long")
 
 
-def between(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """a, b (a < b): the pairs of members of a bucket in different components whose sketches agree in NEAR bins."""
+class Meeting:
+    """Classes of a bucket, some of which ask: links of those that ask to classes of other components."""
+
+    def __init__(self, ids: np.ndarray, roots: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], merged: np.ndarray, percent: int):
+        self.ids, self.roots, self.sketches, self.sets, self.percent = ids, roots.copy(), sketches, sets, percent
+        #: Shingles that share their four bytes with another of the set: so many might be missing from an intersection.
+        self.merged = merged
+
+    def alike(self, q: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others may have the similarity."""
+        own, parts = self.sets[q], [self.sets[i] for i in others.tolist()]
+        size = np.array([len(p) for p in parts])
+        flat = np.concatenate(parts)
+        at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+        both = np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum(size) - size)
+        spare = np.minimum(self.merged[q], self.merged[others])
+        union = len(own) + self.merged[q] + size + self.merged[others] - both - spare
+        return 100 * (both + spare) >= self.percent * union
+
+    def links(self, asks: np.ndarray, held: np.ndarray, thin: bool) -> np.ndarray:
+        """Pairs (smaller id, larger id); if thin, only those that join components here for the first time."""
+        out = []
+        for q in asks.tolist():
+            bins = (self.sketches[held] == self.sketches[q]).sum(axis=1)
+            near = np.flatnonzero((bins >= NEAR) & (self.roots[held] != self.roots[q]))
+            near = held[near[np.argsort(-bins[near], kind="stable")]]
+            for k in range(0, len(near), 128):
+                some = near[k : k + 128]
+                some = some[self.roots[some] != self.roots[q]]
+                if not len(some):
+                    continue
+                for i in some[self.alike(q, some)].tolist():
+                    if thin and self.roots[i] == self.roots[q]:
+                        continue
+                    out.append((min(self.ids[q], self.ids[i]), max(self.ids[q], self.ids[i])))
+                    if thin:
+                        self.roots[self.roots == self.roots[q]] = self.roots[i]
+        return np.array(out, np.int64).reshape(-1, 2)
+
+
+def short_sets(ids: DataFrame, documents: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+    """id, short (the four lowest bytes of the shingles' hashes, sorted, once each), merged (how many fell together)."""
+    schema = pa.schema([("id", pa.int64()), ("short", pa.binary()), ("merged", pa.int64())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                hashes = np.unique(shingle_hashes(text, shingle))
+                short = np.unique(hashes.astype(np.uint32))
+                rows.append((i, short.tobytes(), len(hashes) - len(short)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return texts_of(ids, documents, classes).mapInArrow(scan, "id long, short binary, merged long")
+
+
+def between(members: DataFrame, documents: DataFrame, classes: DataFrame, roots: DataFrame, scratch: Scratch, shingle: int, percent: int, thin: bool) -> DataFrame:
+    """a, b (a < b): links between members of a bucket in different components, to be confirmed."""
     rooted = members.join(roots, "id", "left").select("key", "id", "size", F.coalesce("root", "id").alias("root"))
     sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("n", "root")).alias("most")).where("kinds > 1")
-    open_ = rooted.join(mixed.select("key", F.col("most.root").alias("main"), F.col("most.n").alias("mains")), "key")
+    open_ = scratch.table(rooted.join(mixed.select("key", F.col("most.root").alias("main"), F.col("most.n").alias("mains")), "key"), "open")
+    sets = scratch.table(short_sets(open_.select("id").distinct(), documents, classes, shingle).join(classes.select("id", "sketch"), "id"), "sets")
     chunks, parts = (F.ceil(n / k).cast("int") for n, k in ((F.col("size") - F.col("mains"), QUERIES), (F.col("size"), HELD)))
     drawn = F.xxhash64("id")
     held = open_.select("key", "id", "root", F.lit(False).alias("asks"), F.pmod(drawn, parts).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
@@ -148,25 +208,25 @@ def between(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFra
 
     def meet(table: pa.Table) -> pa.Table:
         asking = table.column("asks").to_numpy()
-        ids, root = table.column("id").to_numpy(), table.column("root").to_numpy()
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
-        others = np.flatnonzero(~asking)
-        found = [np.zeros((0, 2), np.int64)]
-        for q in np.flatnonzero(asking).tolist():
-            near = others[(root[others] != root[q]) & ((sketch[others] == sketch[q]).sum(axis=1) >= NEAR)]
-            found.append(np.stack((np.minimum(ids[q], ids[near]), np.maximum(ids[q], ids[near])), 1))
-        pairs = np.unique(np.concatenate(found), axis=0)
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+        short = [np.frombuffer(x, np.uint32) for x in table.column("short").to_pylist()]
+        met = Meeting(table.column("id").to_numpy(), table.column("root").to_numpy(), sketches, short, table.column("merged").to_numpy(), percent)
+        pairs = np.unique(met.links(np.flatnonzero(asking), np.flatnonzero(~asking), thin), axis=0)
         return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
 
-    both = asks.unionByName(held).join(classes.select("id", "sketch"), "id")
-    return both.groupBy("key", "chunk", "part").applyInArrow(meet, "a long, b long").distinct()
+    return asks.unionByName(held).join(sets, "id").groupBy("key", "chunk", "part").applyInArrow(meet, "a long, b long").distinct()
+
+
+def texts_of(ids: DataFrame, documents: DataFrame, classes: DataFrame) -> DataFrame:
+    """ids(id): id and the text, as bytes, of a document of each class."""
+    wanted = ids.join(classes, "id").select("id", F.col("doc_id").alias("own"), F.col("mark").alias("of"))
+    found = keyed(documents).join(wanted, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("mark") == F.col("of")))
+    return found.groupBy("id").agg(F.any_value("text").alias("text"))
 
 
 def confirmed(pairs: DataFrame, documents: DataFrame, classes: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame:
     """The pairs(a, b) whose full sets have the similarity."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes, "id").select("id", F.col("doc_id").alias("own"), F.col("mark").alias("of"))
-    texts = keyed(documents).join(wanted, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("mark") == F.col("of"))).groupBy("id").agg(F.any_value("text").alias("text"))
-    texts = scratch.table(texts, "texts")
+    texts = scratch.table(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), documents, classes), "texts")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,10 +257,13 @@ def near_duplicates(documents: DataFrame, shingle: int = 2, percent: int = 80) -
     nearest = stars.groupBy("b").agg(F.max_by("a", F.struct("bins", "a")).alias("a")).select("a", "b")
     links = scratch.table(confirmed(scratch.table(nearest, "nearest"), documents, classes, scratch, shingle, percent), "links")
     roots = scratch.table(components(links, scratch).select(F.col("node").alias("id"), "root"), "roots")
-    rest = scratch.table(between(members, classes, roots), "between")
-    if not rest.isEmpty():
+    for thin in (True, False):
+        rest = scratch.table(between(members, documents, classes, roots, scratch, shingle, percent, thin), "between")
         more = scratch.table(confirmed(rest, documents, classes, scratch, shingle, percent), "more")
-        roots = scratch.table(components(links.unionByName(more), scratch).select(F.col("node").alias("id"), "root"), "roots")
+        links = links.unionByName(more)
+        roots = scratch.table(components(links, scratch).select(F.col("node").alias("id"), "root"), "roots")
+        if more.count() == rest.count():
+            break
     named = classes.select("id", "digest", "doc_id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_digest = scratch.table(named.join(least, "root").select("digest", "component_id"), "named")

@@ -1,11 +1,12 @@
-"""License texts by canonical digest lookup, in DataFrame operations only.
+"""License texts by canonical digest lookup.
 
 A text is put into a canonical form - lower case, one space for every run of signs, copyright lines dropped, equivalent
 spellings made the same - and the SHA-256 of the whole form is looked up in a table of known ones by a hash join. Units
 looked up are the whole document, without title lines and "all rights reserved" on a line of its own, every line of it,
 as notices stand on lines of their own, and every run of lines, as licenses stand in longer files. Only units as long as
 some known text are hashed, which loses nothing: a run ends where it begins plus that length, so the runs of a length are
-the ends of lines that are also begins of lines moved on by it, one hashed intersection a length.
+the places where a line ends that far behind where one begins, found by one search of sorted sums a length. Canonical
+lines are made by column expressions; units are cut from them in Arrow batches, and joined by digest.
 
 The table of known texts is a fixed list (a few kilobytes), so it is broadcast. Long licenses are in it by the digests of
 their published texts. Within a run, title lines and "all rights reserved" are part of the text, as nothing says which file they belong to.
@@ -19,11 +20,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import text_or_empty
+from sparkloom.llm.common import small_batches, text_or_empty
 
 # Spellings that mean the same in a license, after lower case and without signs.
 SPELLINGS = {
@@ -129,26 +134,35 @@ def all_known() -> list[tuple[str, str, int]]:
     return known_digests(KNOWN) + [(name, digest, length) for name, (length, digest) in PUBLISHED.items()]
 
 
-UNITS = "array<struct<scope:string,unit:int,body:string>>"
 #: Canonical characters of the shortest known text that is looked for in runs of lines.
 SHORTEST_RUN = 60
-
-
-def with_runs(docs: DataFrame, lengths: list[int]) -> DataFrame:
-    """docs(doc_id, lines, units) with the runs of lines of a known length added to the units. Ends are running sums of the
-    lines' lengths, made by a fold over the lines; one intersection of hashed sets finds the runs of a length."""
-    sums = F.aggregate("lines", F.array(F.lit(0)), lambda ends, x: F.concat(ends, F.array(F.element_at(ends, -1) + F.length(x) + 1)))
-    placed = docs.withColumn("joined", F.array_join("lines", " ")).withColumn("cuts", F.when((F.size("lines") > 1) & (F.length("joined") > min(lengths, default=1 << 30)), sums))
-    # a cut is where a line begins, and one more than where the line before it ends
-
-    def of_length(n: int):
-        hits = F.array_intersect("cuts", F.transform("cuts", lambda c: c + n + 1))
-        several = lambda e: (F.array_position("cuts", e) - F.array_position("cuts", e - n - 1) > 1) & (F.length("joined") > n)
-        unit = lambda e: F.struct(F.lit("lines").alias("scope"), F.array_position("cuts", e - n - 1).cast("int").alias("unit"), F.substring(F.col("joined"), e - n, F.lit(n)).alias("body"))
-        return F.when((F.size("cuts") > 2) & (F.size(hits) > 0), F.transform(F.filter(hits, several), unit)).otherwise(F.array().cast(UNITS))
-
-    found = [of_length(n) for n in lengths]
-    return placed.withColumn("units", F.concat("units", *found)).drop("joined", "cuts") if found else docs
+FOUND = pa.schema([("doc_id", pa.int64()), ("scope", pa.string()), ("unit", pa.int32()), ("digest", pa.string())])
+
+
+def units_of(lines: pa.ListArray, lengths: np.ndarray) -> Iterator[tuple[int, str, int, str]]:
+    """(text, scope, unit, body) of the units of some texts' canonical lines that are as long as some known text. Canonical
+    lines are ASCII, so their bytes are their characters."""
+    values, firsts = lines.flatten(), np.asarray(lines.offsets)
+    firsts = firsts - firsts[0]
+    size = pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = np.concatenate((np.zeros(1, np.int64), np.cumsum(size + 1)))  # where a line begins, and one more than where the one before it ends
+    of = np.repeat(np.arange(len(lines)), np.diff(firsts))
+    body = lambda i, j: " ".join(values.slice(i, j - i).to_pylist())
+    title = pc.is_in(values, value_set=pa.array(TITLES)).to_numpy(zero_copy_only=False).astype(bool)
+    untitled = np.concatenate((np.zeros(1, np.int64), np.cumsum((size + 1) * ~title)))
+    whole = untitled[firsts[1:]] - untitled[firsts[:-1]]
+    whole = np.where(whole == 0, cuts[firsts[1:]] - cuts[firsts[:-1]], whole) - 1
+    for d in np.flatnonzero(np.isin(whole, lengths)).tolist():
+        yield d, "document", 0, whole_form(values.slice(firsts[d], firsts[d + 1] - firsts[d]).to_pylist())
+    for i in np.flatnonzero(np.isin(size, lengths)).tolist():
+        yield int(of[i]), "line", i - int(firsts[of[i]]) + 1, values[i].as_py()
+    for n in lengths[lengths >= SHORTEST_RUN].tolist():
+        ends = np.searchsorted(cuts, cuts[:-1] + n + 1)
+        starts = np.flatnonzero((ends < len(cuts)) & (cuts[np.minimum(ends, len(cuts) - 1)] == cuts[:-1] + n + 1))
+        for i, j in zip(starts.tolist(), ends[starts].tolist(), strict=True):
+            first, last = int(firsts[of[i]]), int(firsts[of[i] + 1])
+            if j <= last and j - i > 1 and j - i < last - first:
+                yield int(of[i]), "lines", i - first + 1, body(i, j)
 
 
 def license_scan(documents: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
@@ -158,22 +172,23 @@ def license_scan(documents: DataFrame, known: dict[str, str] | None = None) -> D
     if len(table) > 100_000:
         raise ValueError("known texts are meant to be broadcast; join more than 100,000 by digest instead")
     spark = documents.sparkSession
-    lengths = sorted({n for _, _, n in table})
+    small_batches(spark)
+    lengths = np.array(sorted({n for _, _, n in table}), np.int64)
     small = spark.createDataFrame(table, "license string, digest string, length int").select("license", "digest")
     capitals = F.translate(text_or_empty(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     flat = F.regexp_replace(capitals, SIGNS, " ")
     for a, b in SPELLINGS.items():
         flat = F.replace(flat, F.lit(a), F.lit(b))
-    lines = F.filter(F.split(flat, "\n"), lambda x: (F.trim(x) != "") & ~x.rlike(RIGHTS))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.transform(lines, lambda x: F.trim(x)).alias("lines"))
-    fits = lambda c: F.length(c).isin(lengths)
-    untitled = F.filter("lines", lambda x: ~x.isin(*TITLES))
-    whole = F.array_join(F.when(F.size(untitled) > 0, untitled).otherwise(F.col("lines")), " ")
-    units = F.concat(
-        F.when(fits(whole), F.array(F.struct(F.lit("document").alias("scope"), F.lit(0).alias("unit"), whole.alias("body")))).otherwise(F.array().cast("array<struct<scope:string,unit:int,body:string>>")),
-        F.filter(F.transform("lines", lambda x, i: F.struct(F.lit("line").alias("scope"), (i + 1).alias("unit"), x.alias("body"))), lambda u: fits(u["body"])),
-    )
-    found = with_runs(docs.select("doc_id", "lines", units.alias("units")), [n for n in lengths if n >= SHORTEST_RUN]).select("doc_id", F.explode("units").alias("u")).select("doc_id", "u.scope", "u.unit", F.sha2(F.col("u.body"), 256).alias("digest"))
+    lines = F.filter(F.transform(F.split(flat, "\n"), lambda x: F.struct(F.trim(x).alias("t"), x.rlike(RIGHTS).alias("r"))), lambda x: (x["t"] != "") & ~x["r"])
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.transform(lines, lambda x: x["t"]).alias("lines"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id")
+            rows = [(ids[d].as_py(), scope, unit, hashlib.sha256(body.encode()).hexdigest()) for d, scope, unit, body in units_of(batch.column("lines"), lengths) if body]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, FOUND, strict=True)], schema=FOUND)
+
+    found = docs.mapInArrow(scan, "doc_id long, scope string, unit int, digest string")
     return found.join(F.broadcast(small), "digest").select("doc_id", "scope", "unit", "license", "digest")
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import Scratch, run_starts, small_batches, text_or_empty
 
 #: Bytes of text of a block; entries of a stripe's matrix; pieces that a worker remembers; blocks answered together.
-BLOCK_BYTES, MATRIX, REMEMBERED, TOGETHER = 8 << 20, 1 << 23, 250_000, 1024
+BLOCK_BYTES, MATRIX, REMEMBERED, TOGETHER = 4 << 20, 1 << 23, 200_000, 1024
 #: Longest piece that is remembered, in characters.
 SHORT = 64
 TOKENIZERS = "/opt/tokenizers"

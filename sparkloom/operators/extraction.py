@@ -118,3 +118,50 @@ def element_markdown(category: Column, text: Column) -> Column:
 def section_statistics(sections: DataFrame) -> DataFrame:
     """sections(type, content, breadcrumbs): count and mean size of each type, least, largest and mean depth."""
     return sections.groupBy("type").agg(F.count("*").alias("n"), F.round(F.avg(F.length("content")), 1).alias("mean_size"), F.min(F.size("breadcrumbs")).alias("least_depth"), F.max(F.size("breadcrumbs")).alias("most_depth"), F.round(F.avg(F.size("breadcrumbs")), 1).alias("mean_depth"))
+
+
+def table_cells(tables: DataFrame) -> DataFrame:
+    """tables(doc_id, page, table_no, table) in markdown: doc_id, page, table_no, row (from 0, the header), cells. The line under
+    the header is left out, signs at a line's ends aren't cells, and a pipe after a backslash is part of its cell."""
+    lines = tables.select("doc_id", "page", "table_no", F.filter(F.split("table", "\n"), lambda x: ~x.rlike(r"^[\s|:-]*-[\s|:-]*$") & (F.trim(x) != "")).alias("lines"))
+    inner = lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), r"^\|", ""), r"(?<!\\)\|$", "")
+    cells = lambda x: F.transform(F.split(inner(x), r"(?<!\\)\|"), lambda c: F.trim(F.replace(c, F.lit("\\|"), F.lit("|"))))
+    return lines.select("doc_id", "page", "table_no", F.posexplode(F.transform("lines", cells)).alias("row", "cells"))
+
+
+def table_files(tables: DataFrame) -> DataFrame:
+    """A CSV file for each table: name (doc_{id}/tables/table_001_page_001.csv) and content. Cells with a comma, a quote or a line
+    end are quoted; a table's rows are few, and are gathered for its file."""
+    quoted = lambda c: F.when(c.rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    rows = table_cells(tables).select("doc_id", "page", "table_no", F.struct("row", F.array_join(F.transform("cells", quoted), ",").alias("line")).alias("r"))
+    files = rows.groupBy("doc_id", "page", "table_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["line"]), "\n").alias("content"))
+    return files.select(F.format_string("doc_%s/tables/table_%03d_page_%03d.csv", F.col("doc_id").cast("string"), "table_no", "page").alias("name"), F.concat("content", F.lit("\n")).alias("content"))
+
+
+def element_texts(elements: DataFrame) -> DataFrame:
+    """elements(doc_id, seq, category, text): the text of each document, titles as headings, narrative set off by blank lines,
+    list items with a dash, and how many characters, words and lines it has. Categories are judged by what their names hold."""
+    has = lambda s: F.contains("category", F.lit(s))
+    text = F.coalesce("text", F.lit(""))
+    piece = (
+        F.when(has("Title"), F.concat(F.lit("\n# "), text, F.lit("\n"))).when(has("Text"), F.concat(F.lit("\n"), text, F.lit("\n")))
+        .when(has("ListItem"), F.concat(F.lit("- "), text, F.lit("\n"))).otherwise(F.concat(text, F.lit("\n")))
+    )
+    pieces = elements.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", piece.alias("p")))).alias("p"))
+    whole = pieces.select("doc_id", F.array_join(F.transform("p", lambda x: x["p"]), "").alias("text"))
+    words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    return whole.select("doc_id", "text", F.length("text").alias("characters"), words.alias("words"), F.size(F.split("text", "\n")).alias("lines"))
+
+
+def element_tables(elements: DataFrame) -> DataFrame:
+    """elements(doc_id, seq, category, text, html): the tables of each document, numbered from 1: their HTML, or their text."""
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq"))
+    return elements.where("category = 'Table'").select("doc_id", number.alias("table_no"), F.coalesce("html", "text").alias("content"))
+
+
+def element_figures(elements: DataFrame) -> DataFrame:
+    """elements(doc_id, seq, category, text): the figures of each document, numbered from 1, with the caption that follows."""
+    order = Window.partitionBy("doc_id").orderBy("seq")
+    caption = F.when(F.lead("category").over(order) == "FigureCaption", F.lead("text").over(order))
+    found = elements.withColumn("caption", caption).where(F.col("category").isin("Image", "Figure", "Picture"))
+    return found.select("doc_id", F.row_number().over(order).alias("figure_no"), F.coalesce("caption", "text").alias("caption"))

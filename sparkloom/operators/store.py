@@ -97,3 +97,28 @@ def golden_and_corpus(examples: DataFrame, golden: int = 30, corpus: int = 500)
     questions = first.select("id", F.col("question").alias("input"), F.left("answer", F.lit(2000)).alias("reference"), F.transform("contexts", lambda c: F.left(c, F.lit(8000))).alias("contexts"), ids.alias("context_ids"))
     pieces = ranked.select("id", F.posexplode("contexts").alias("k", "c")).join(first.select("id", F.lit(True).alias("g")), "id", "left")
     return questions, pieces.select(F.format_string("%s_d%d", "id", "k").alias("id"), F.left("c", F.lit(8000)).alias("text"), F.coalesce("g", F.lit(False)).alias("in_golden"))
+
+
+# Under which names a context's text may stand, the first that is there counts.
+TEXT_KEYS = ("text", "content", "page_content", "body")
+
+
+def plain_contexts(documents: Column, sentences: Column) -> Column:
+    """The contexts of an example as texts, whatever shape its JSON has: texts; lists of sentences, which are joined; objects with a
+    text under one of TEXT_KEYS, or with a list ``sentences``. Where that gives none, or the first item is of no such kind,
+    the lists of sentences beside it count. What is no list, or an empty one, gives none."""
+    get = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    is_a = lambda v, kind: F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
+    blank = lambda s: F.regexp_replace(s, r"^\s+|\s+$", "") == ""
+    none = F.array().cast("array<string>")
+    items = get(F.try_parse_json(documents), "$", "array<variant>")
+    text = lambda v: F.when(is_a(v, "STRING"), get(v, "$", "string"))
+    some = lambda v: F.when(~blank(text(v)), text(v))
+    joined = lambda v: F.when(is_a(v, "ARRAY"), F.array_join(F.array_compact(F.transform(get(v, "$", "array<variant>"), some)), " "))
+    named = lambda v: F.coalesce(*[F.regexp_replace(some(get(v, f"$.{k}", "variant")), r"^\s+|\s+$", "") for k in TEXT_KEYS])
+    of_object = lambda v: F.when(is_a(v, "OBJECT"), F.nullif(F.coalesce(named(v), joined(get(v, "$.sentences", "variant"))), F.lit("")))
+    each = lambda f: F.array_compact(F.transform(items, f))
+    last = F.coalesce(F.array_compact(F.transform(get(F.try_parse_json(sentences), "$", "array<variant>"), joined)), none)
+    first = F.get(items, F.lit(0))
+    objects = each(of_object)
+    return F.when(items.isNull() | (F.size(items) == 0), none).when(is_a(first, "STRING"), each(some)).when(is_a(first, "ARRAY"), each(joined)).when(is_a(first, "OBJECT") & (F.size(objects) > 0), objects).otherwise(last)

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import html
 from sparkloom.functions import text as T
-from sparkloom.operators import chunking, enrichment, extraction
+from sparkloom.operators import chunking, enrichment, extraction, store
 from sparkloom.plans.registry import register
-from sparkloom.session import read_table
+from sparkloom.session import read_table, temporary_path
+from sparkloom.sources import sinks
 
 
 def _made(spark: SparkSession, sf_dir: str, table: str, key: str, expression: str, base: str = "https://shop.example.org/a/b") -> DataFrame:
@@ -408,3 +409,53 @@ def line_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.expr("element_at(array('table', 'image', 'code', 'text'), cast(doc_id % 4 as int) + 1)")
     lines = read_table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("content_only"), kind.alias("type"), F.lit(1).alias("page"))
     return chunking.chunk_statistics(lines)
+
+
+@register("SELECT p_partkey, p_name || ', \"new\"' AS name, CAST(p_size AS VARCHAR) AS size FROM part")
+def exported_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables of markdown pages as CSV files, a file a table, read back."""
+    text = F.concat_ws("\n", F.lit("Words"), F.lit("| part | name | size |"), F.lit("|---|:--|--:|"), F.concat(F.lit("| "), "p_partkey", F.lit(" | "), "p_name", F.lit(', "new" | '), "p_size", F.lit(" |")), F.lit("end"))
+    pages = read_table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 10).alias("doc_id"), (F.col("p_partkey") % 10 + 1).cast("int").alias("page"), text.alias("text"))
+    path = temporary_path(spark, "tables")
+    sinks.write_named_files(extraction.table_files(extraction.table_runs(pages)), path)
+    rows = spark.read.option("header", True).option("escape", '"').schema("part long, name string, size string").csv(f"{path}/doc_*/tables")
+    return rows.select(F.col("part").alias("p_partkey"), "name", "size")
+
+
+_ELEMENTS = f"(SELECT doc_id, seq, ['Title', 'NarrativeText', 'ListItem', 'Table', 'Image', 'FigureCaption'][CAST(seq % 6 AS INT) + 1] AS category, text FROM {_LINES})"
+
+
+def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the documents as a parser's elements."""
+    category = F.element_at(F.array(*map(F.lit, ("Title", "NarrativeText", "ListItem", "Table", "Image", "FigureCaption"))), (F.col("seq") % 6 + 1).cast("int"))
+    return _lines(spark, sf_dir).select("doc_id", "seq", category.alias("category"), "text", F.when(F.col("seq") % 12 == 3, F.concat(F.lit("<table>"), "text", F.lit("</table>"))).alias("html"))
+
+
+@register(
+    f"""SELECT doc_id, md5(t) AS digest, CAST(length(t) AS INT) AS characters, CAST(len(string_split(t, chr(10))) AS INT) AS lines FROM (SELECT doc_id, string_agg(CASE category WHEN 'Title' THEN chr(10) || '# ' || text WHEN 'NarrativeText' THEN chr(10) || text WHEN 'ListItem' THEN '- ' || text ELSE text END || chr(10), '' ORDER BY seq) AS t FROM {_ELEMENTS} GROUP BY 1)"""
+)
+def assembled_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.element_texts(_elements(spark, sf_dir)).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "characters", "lines")
+
+
+@register(
+    f"""SELECT doc_id, 'table' AS kind, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS INT) AS n, CASE WHEN seq % 12 = 3 THEN '<table>' || text || '</table>' ELSE text END AS content FROM {_ELEMENTS} WHERE category = 'Table'
+    UNION ALL SELECT doc_id, 'figure', CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS INT), coalesce(caption, text) FROM (SELECT *, lead(text) OVER (PARTITION BY doc_id ORDER BY seq) AS caption FROM {_ELEMENTS}) WHERE category = 'Image'"""
+)
+def tables_and_figures_of_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    elements = _elements(spark, sf_dir)
+    tables = extraction.element_tables(elements).select("doc_id", F.lit("table").alias("kind"), F.col("table_no").alias("n"), "content")
+    return tables.unionByName(extraction.element_figures(elements).select("doc_id", F.lit("figure").alias("kind"), F.col("figure_no").alias("n"), F.col("caption").alias("content")))
+
+
+@register("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' ' || p_brand WHEN 2 THEN p_name || '|' || p_brand WHEN 3 THEN p_name || ' x' WHEN 4 THEN p_brand ELSE '' END AS contexts FROM part")
+def contexts_of_any_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts, lists of sentences, objects with the text under one of several names or in sentences, and nothing."""
+    name, brand, blank = F.col("p_name").alias("a"), F.col("p_brand").alias("b"), F.lit(" ").alias("c")
+    objects = F.array(F.struct(blank.alias("text"), F.concat(F.lit(" "), "p_name", F.lit("\n")).alias("content")), F.struct(F.lit(None).cast("string").alias("text"), F.col("p_brand").alias("content")))
+    listed = F.to_json(F.array(F.array(name, blank, brand)))
+    shapes = [F.to_json(F.array(name, blank)), listed, F.to_json(objects), F.to_json(F.array(F.struct(F.array("p_name", F.lit("x")).alias("sentences")))), F.to_json(F.array(F.struct(F.lit(5).alias("text")))), F.lit("no json")]
+    k = F.col("p_partkey") % 6
+    documents = F.coalesce(*[F.when(k == i, s) for i, s in enumerate(shapes)])
+    beside = F.when(k == 4, F.to_json(F.array(F.array(brand))))
+    return read_table(spark, sf_dir, "part").select("p_partkey", F.array_join(store.plain_contexts(documents, beside), "|").alias("contexts"))

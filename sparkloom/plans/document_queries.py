@@ -217,7 +217,13 @@ def page_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.page_links(read_table(spark, sf_dir, "pages")).groupBy("page_id").agg(F.count("*").alias("n"))
 
 
-@register()
+_LINK = """'<a\\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>'"""
+
+
+@register(
+    f"""SELECT page_id, CAST(n AS INT) AS n, regexp_extract(url, '^https?://[^/?#]*') || href AS url, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, true AS is_internal FROM (SELECT page_id, url, unnest(h) AS href, unnest(t) AS text, generate_subscripts(h, 1) AS n
+    FROM (SELECT page_id, url, regexp_extract_all(html, {_LINK}, 1) AS h, regexp_extract_all(html, {_LINK}, 2) AS t FROM pages))"""
+)
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.page_links(read_table(spark, sf_dir, "pages"))
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import Scratch, run_starts, small_batches, text_or_empty
 
 #: Bytes of text of a block; entries of a stripe's matrix; pieces that a worker remembers; blocks answered together.
-BLOCK_BYTES, MATRIX, REMEMBERED, TOGETHER = 4 << 20, 1 << 23, 200_000, 1024
+BLOCK_BYTES, MATRIX, REMEMBERED, TOGETHER = 8 << 20, 1 << 23, 250_000, 1024
 #: Longest piece that is remembered, in characters.
 SHORT = 64
 TOKENIZERS = "/opt/tokenizers"
@@ -154,16 +154,20 @@ def encoded_block(block: int, ids: list, texts: list[str], enc: Encoders, width:
     """Rows of BLOCK for some documents."""
     known: dict[str, int] = {}
     put = known.setdefault
-    of = [np.array([put(p, len(known)) for p in enc.pieces(t)], np.int64) if t else np.zeros(0, np.int64) for t in texts]
+    of = [np.array([put(p, len(known)) for p in enc.pieces(t)], np.int32) if t else np.zeros(0, np.int32) for t in texts]
     found = enc.aligned(list(known))
     figures = np.array([(x[0], x[1], x[2], 0 if x[4] is None else len(x[4])) for x in found], np.int64).reshape(-1, 4)
     bad = np.array([x[4] is None for x in found], bool)
-    of = [np.zeros(0, np.int64) if bad[x].any() else x for x in of]
+    of = [np.zeros(0, np.int32) if bad[x].any() else x for x in of]
     size = np.array([len(x) for x in of], np.int64)
-    seen = np.concatenate([np.zeros(0, np.int64), *of])
+    seen = np.concatenate([np.zeros(0, np.int32), *of])
     wrote = [x[3] for x in found]
-    written = [";".join([wrote[i] for i in x.tolist()]) for x in of]
-    hashes = [hashlib.sha256(w.encode()).hexdigest() if w else "" for w in written]
+    written, hashes = [] if groups else None, []
+    for x in of:
+        w = ";".join([wrote[i] for i in x.tolist()])
+        hashes.append(hashlib.sha256(w.encode()).hexdigest() if w else "")
+        if groups:
+            written.append(w)
     times = np.bincount(seen, minlength=len(found))
     spans = np.where(times > 0, figures[:, 3], 0)  # pieces of documents without tokens only count for nothing
     links = np.concatenate([np.zeros(0, np.int64), *(x[4] for x, n in zip(found, spans.tolist(), strict=True) if n)])
@@ -171,9 +175,12 @@ def encoded_block(block: int, ids: list, texts: list[str], enc: Encoders, width:
     counts = np.bincount(places, np.repeat(times, spans), len(pairs)).astype(np.int64)
     stripe = pairs // (width * enc.a_size)
     firsts = run_starts(stripe)
+    ends = np.cumsum(size)
     per_doc = np.zeros((len(of), 4), np.int64)
-    np.add.at(per_doc, np.repeat(np.arange(len(of)), size), figures[seen])
-    rows = [(block, -1, None, None, ids, hashes, written if groups else None, planes(per_doc.ravel()), planes(size), planes(seen), planes(spans), planes(places))]
+    for k in range(4):  # a column at a time: a block has millions of pieces
+        upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(figures[:, k][seen])))
+        per_doc[:, k] = upto[ends] - upto[ends - size]
+    rows = [(block, -1, None, None, ids, hashes, written, planes(per_doc.ravel()), planes(size), planes(seen), planes(spans), planes(places))]
     for x, y in zip(firsts, [*firsts[1:], len(pairs)][: len(firsts)], strict=True):
         k = int(stripe[x])
         rows.append((block, k, planes(pairs[x:y] - k * width * enc.a_size), planes(counts[x:y]), *[None] * 8))

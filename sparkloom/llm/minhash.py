@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import Scratch, mix64, random_words, small_batches, text_or_empty
 from sparkloom.llm.graph import components
+from sparkloom.llm.near_copies import standing
 from sparkloom.llm.simhash import shingle_hashes
 
 U = np.uint64
@@ -241,12 +242,11 @@ def confirmed(pairs: DataFrame, documents: DataFrame, classes: DataFrame, scratc
     return pairs.join(one, "a").join(other, "b").select("a", "b", "s", "t").mapInArrow(scan, "a long, b long")
 
 
-def near_duplicates(documents: DataFrame, shingle: int = 2, percent: int = 80) -> DataFrame:
-    """documents(doc_id, text). Returns doc_id, n_shingles, component_id (the smallest doc_id that chains of links reach)
-    and kept. NEAR and the bands are made for a percentage of 80 or more."""
+def linked(documents: DataFrame, scratch: Scratch, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and the classes of equal sets: id, digest, doc_id and mark of the first row, and root, the class that
+    names the component. NEAR and the bands are made for a percentage of 80 or more."""
     if percent < 80:
         raise ValueError("the bands are made for 80 percent or more")
-    scratch = Scratch(documents.sparkSession, "minhash")
     rows = scratch.table(signatures(documents, shingle), "signed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
     merged = rows.where("n_shingles > 0").groupBy("digest").agg(first, F.any_value("sketch").alias("sketch"), F.any_value("bands").alias("bands"))
@@ -264,9 +264,28 @@ def near_duplicates(documents: DataFrame, shingle: int = 2, percent: int = 80) -
         roots = scratch.table(components(links, scratch).select(F.col("node").alias("id"), "root"), "roots")
         if more.count() == rest.count():
             break
-    named = classes.select("id", "digest", "doc_id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = classes.select("id", "digest", "doc_id", "mark").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    return rows, named
+
+
+def near_duplicates(documents: DataFrame, shingle: int = 2, percent: int = 80) -> DataFrame:
+    """documents(doc_id, text). Returns doc_id, n_shingles, component_id (the smallest doc_id that chains of links reach)
+    and kept."""
+    scratch = Scratch(documents.sparkSession, "minhash")
+    rows, named = linked(documents, scratch, shingle, percent)
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_digest = scratch.table(named.join(least, "root").select("digest", "component_id"), "named")
-    linked = rows.where("n_shingles > 0").select("doc_id", "n_shingles", "digest").join(by_digest, "digest").select("doc_id", "n_shingles", "component_id")
+    named = rows.where("n_shingles > 0").select("doc_id", "n_shingles", "digest").join(by_digest, "digest").select("doc_id", "n_shingles", "component_id")
     alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return named.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, all columns, that stand for their group of near copies. Other than above, texts without words are
+    copies of each other, and of the rows of a doc_id only one stays."""
+    scratch = Scratch(documents.sparkSession, "copies")
+    rows, named = linked(documents, scratch, shingle, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("mark").alias("digest"))).alias("first")
+    least = named.groupBy("root").agg(first).select("first")
+    wordless = rows.where("n_shingles = 0").groupBy("n_shingles").agg(first).select("first")
+    return standing(documents, least.unionByName(wordless).select(F.col("first.doc_id").alias("own"), F.col("first.digest").alias("of")), scratch)

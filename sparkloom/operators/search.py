@@ -174,12 +174,43 @@ def with_lists(vectors: DataFrame, centres: np.ndarray, probes: int = 1) -> Data
     return vectors.withColumn("list", F.explode(F.pandas_udf(nearest, "array<int>")("embedding")))
 
 
+#: Vectors of a list that a task holds at a time, and queries that it meets them with.
+HELD, ASKING = 8192, 4096
+
+
 def search_index(queries: DataFrame, index: DataFrame, centres: np.ndarray, k: int = 10, probes: int = 8) -> DataFrame:
     """Approximate search: index is with_lists() of every vector, kept or written by list; a query meets the vectors of its
-    ``probes`` nearest lists only."""
-    asked = with_lists(queries.select("query_id", F.col("embedding").alias("embedding")), centres, probes).select("query_id", F.col("embedding").alias("q"), "list")
-    met = index.select("vec_id", "embedding", "list").join(asked, "list")
-    scored = met.select("query_id", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("score"))
+    ``probes`` nearest lists only. Lists are cut in parts of bounded size; a part is multiplied with the queries that probe its
+    list, a bounded number of them at a time, and sends on k rows for each."""
+    asked = with_lists(queries.select("query_id", F.col("embedding").alias("embedding")), centres, probes)
+    sizes = index.groupBy("list").agg(F.ceil(F.count("*") / HELD).cast("int").alias("parts"))
+    chunks = asked.groupBy("list").agg(F.ceil(F.count("*") / ASKING).cast("int").alias("chunks"))
+    cut = F.broadcast(sizes.join(chunks, "list"))  # a row a list
+    part, chunk = (F.pmod(F.xxhash64(i), F.col(n)).cast("int").alias(n[:-1]) for i, n in (("vec_id", "parts"), ("query_id", "chunks")))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(n[:-1])
+    held = index.join(cut, "list").select("list", "vec_id", "embedding", part, each("chunks"))
+    asking = asked.join(cut, "list").select("list", "query_id", "embedding", chunk, each("parts"))
+
+    def unit_rows(embeddings: pd.Series) -> np.ndarray:
+        v = np.stack(embeddings.to_numpy()).astype(np.float64)
+        length = np.linalg.norm(v, axis=1, keepdims=True)
+        return v / np.where(length == 0, 1, length)
+
+    def meet(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(v):
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        v = v.sort_values("vec_id", kind="stable")
+        own, at, x, y = q.query_id.to_numpy(), v.vec_id.to_numpy(), unit_rows(q.embedding), unit_rows(v.embedding)
+        best = _Nearest(len(own), k)
+        for a in range(0, len(own), step := max(1, SCORES // len(at))):
+            near = x[a : a + step] @ y.T
+            least = np.partition(near, len(at) - k, axis=1)[:, len(at) - k, None] if len(at) > k else -np.inf
+            i, j = np.nonzero(near >= least)
+            best.add(a + i, at[j], near[i, j])
+        return pd.DataFrame({"query_id": own[best.query], "vec_id": best.vector, "score": best.score})
+
+    keys = ["list", "part", "chunk"]
+    scored = asking.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -7,12 +7,18 @@ holds all of them, neither when they are written nor when they are joined.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Postings of a slice of a term.
 SLICE = 200_000
+#: Texts whose postings a task holds at a time.
+TEXTS = 500
 
 
 def terms(text: Column) -> Column:
@@ -24,21 +30,39 @@ def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id and text as bytes: a row for each term of a text, with its positions; some texts at a time."""
+    lower = bytes.maketrans(UPPER.encode(), LOWER.encode())
+    for batch in batches:
+        for k in range(0, len(batch), TEXTS):
+            some = batch.slice(k, TEXTS)
+            ids, named, places = [], [], []
+            for doc, text in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), strict=True):
+                at: dict[bytes, list[int]] = {}
+                for n, term in enumerate(re.findall(rb"[a-z0-9]+", text.translate(lower))):
+                    at.setdefault(term, []).append(n)
+                ids += [doc] * len(at)
+                named += at.keys()
+                places += at.values()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(named, pa.binary()).cast(pa.string()), pa.array(places, pa.list_(pa.int32()))], names=["doc_id", "term", "positions"])
+
+
 def postings(documents: DataFrame, buckets: int = 64, slice_rows: int = SLICE) -> DataFrame:
     """documents(doc_id, text): bucket, slice, term, doc_id, positions (from 0, ascending). Rows with the same doc_id are one
-    document whose positions may repeat; a null doc_id has none."""
-    each = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(terms(F.col("text"))).alias("position", "term"))
-    lists = each.groupBy("doc_id", "term").agg(F.sort_array(F.collect_list("position")).alias("positions"))
-    slices = lists.groupBy("term").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("slices"))
-    common = slices.where("slices > 1")
-    sliced = lists.join(common, "term", "left")
-    return sliced.select(bucket_of(F.col("term"), buckets).alias("bucket"), F.pmod(F.xxhash64("doc_id"), F.coalesce("slices", F.lit(1))).cast("int").alias("slice"), "term", "doc_id", "positions")
+    document whose positions may repeat; a null doc_id has none. Postings are made where a text lies and shuffled once, to
+    their bucket and slice, where those of a doc_id meet."""
+    named = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    terms_of = named.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    common = terms_of.groupBy("term").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("slices")).where("slices > 1")
+    lists = named.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_lists, "doc_id long, term string, positions array<int>")
+    sliced = lists.join(F.broadcast(common), "term", "left")  # a row for each term of more than a slice
+    dealt = sliced.select(bucket_of(F.col("term"), buckets).alias("bucket"), F.pmod(F.xxhash64("doc_id"), F.coalesce("slices", F.lit(1))).cast("int").alias("slice"), "term", "doc_id", "positions")
+    return dealt.repartition("bucket", "slice").groupBy("bucket", "slice", "term", "doc_id").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
 
 
 def write(documents: DataFrame, path: str, buckets: int = 64, slice_rows: int = SLICE) -> None:
     """Writes the index: a folder a bucket, in it files sorted by term, so that row groups of other terms are passed over."""
-    rows = postings(documents, buckets, slice_rows)
-    rows.repartition("bucket", "slice").sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    postings(documents, buckets, slice_rows).sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 class Index:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +16,12 @@ BLOCK = {"p", "div", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "s
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    """Nodes don't know their parents, so that a tree without a cycle goes as soon as its page is done."""
 
-    def __init__(self, tag, attrs=None, parent=None):
-        self.tag, self.attrs, self.children, self.parent = tag, attrs or {}, [], parent
+    __slots__ = ("tag", "attrs", "children")
+
+    def __init__(self, tag, attrs=None):
+        self.tag, self.attrs, self.children = tag, attrs or {}, []
 
     def all(self, *tags):
         for c in self.children:
@@ -42,36 +44,36 @@ class Node:
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.now = Node("document")
+        self.open = [Node("document")]
 
     def handle_starttag(self, tag, attrs):
         ends = CLOSES.get(tag, set()) | ({"p"} if tag in BLOCK else set())
-        if self.now.tag in ends:
-            self.now = self.now.parent
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.now)
-        self.now.children.append(node)
+        if self.open[-1].tag in ends:
+            self.open.pop()
+        node = Node(tag, {k: v or "" for k, v in attrs})
+        self.open[-1].children.append(node)
         if tag not in VOID:
-            self.now = node
+            self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
-        self.now.children.append(Node(tag, {k: v or "" for k, v in attrs}, self.now))
+        self.open[-1].children.append(Node(tag, {k: v or "" for k, v in attrs}))
 
     def handle_endtag(self, tag):
-        at = self.now
-        while at.parent is not None and at.tag != tag:
-            at = at.parent
-        if at.parent is not None:
-            self.now = at.parent
+        at = len(self.open) - 1
+        while at > 0 and self.open[at].tag != tag:
+            at -= 1
+        if at > 0:
+            del self.open[at:]
 
     def handle_data(self, data):
-        self.now.children.append(data)
+        self.open[-1].children.append(data)
 
 
 def parse(html: str | None) -> Node:
     builder = _Builder()
     builder.feed(html or "")
     builder.close()
-    return builder.root
+    return builder.open[0]
 
 
 def links(tree: Node, base: str) -> list[dict]:
@@ -148,15 +150,24 @@ def blocks(tree: Node, base: str) -> list[dict]:
     return out
 
 
+#: Pages whose finds are held at once.
+PAGES = 100
+ARROW = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<array<string>>": pa.list_(pa.list_(pa.string()))}
+
+
 def _parsed(pages: DataFrame, make, schema: str) -> DataFrame:
-    names = ["page_id", "n", *[p.strip().split(" ")[0] for p in schema.split(",")]]
+    """What ``make`` finds on each page, numbered from 1."""
+    fields = [p.strip().split(" ") for p in schema.split(",")]
 
     def scan(batches):
-        for rows in batches:
-            found = [{"page_id": r.page_id, "n": i, **x} for r in rows.itertuples() for i, x in enumerate(make(parse(r.html), r.url or ""), 1)]
-            yield pd.DataFrame(found, columns=names)
-
-    return pages.select("page_id", "url", "html").mapInPandas(scan, f"page_id long, n int, {schema}")
+        out = pa.schema([("page_id", pa.int64()), ("n", pa.int32()), *[(name, ARROW[kind]) for name, kind in fields]])
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAGES):
+                rows = zip(*[c.to_pylist() for c in batch.slice(at, PAGES).columns], strict=True)
+                found = [{"page_id": k, "n": i, **x} for k, url, html in rows for i, x in enumerate(make(parse(html), url or ""), 1)]
+                yield pa.RecordBatch.from_pylist(found, schema=out)
+
+    return pages.select("page_id", "url", "html").mapInArrow(scan, f"page_id long, n int, {schema}")
 
 
 def page_links(pages: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.session import spread
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 SKIPPED = {"script", "style", "noscript", "template"}
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
@@ -156,7 +158,8 @@ ARROW = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array
 
 
 def _parsed(pages: DataFrame, make, schema: str) -> DataFrame:
-    """What ``make`` finds on each page, numbered from 1."""
+    """What ``make`` finds on each page, numbered from 1. Pages are dealt out anew, as a parse costs far more than its shuffle
+    and a small file, or one row group, would be one task's work."""
     fields = [p.strip().split(" ") for p in schema.split(",")]
 
     def scan(batches):
@@ -167,7 +170,7 @@ def _parsed(pages: DataFrame, make, schema: str) -> DataFrame:
                 found = [{"page_id": k, "n": i, **x} for k, url, html in rows for i, x in enumerate(make(parse(html), url or ""), 1)]
                 yield pa.RecordBatch.from_pylist(found, schema=out)
 
-    return pages.select("page_id", "url", "html").mapInArrow(scan, f"page_id long, n int, {schema}")
+    return spread(pages.select("page_id", "url", "html"), "page_id").mapInArrow(scan, f"page_id long, n int, {schema}")
 
 
 def page_links(pages: DataFrame) -> DataFrame:

@@ -68,6 +68,13 @@ def temporary_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df, dealt out by a key for work that costs far more than its rows' bytes say: without a number, rows that are small once
+    compressed would be put together again into few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: for what a plan reads several times, or to cut its lineage."""
     path, schema = temporary_path(df.sparkSession, name), df.schema

@@ -2,9 +2,18 @@
 
 import gc
 
+from pyspark.sql import functions as F
+
 from sparkloom.functions import html
 
 
+def test_a_single_row_group_is_parsed_by_several_tasks(spark, tmp_path):
+    """One file with one row group: pages are dealt out before they are parsed."""
+    spark.range(0, 20000, 1, 1).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("<form action='"), F.sha2(F.col("id").cast("string"), 512), F.lit("'></form>")).alias("html")).write.parquet(f"{tmp_path}/pages")
+    found = html.page_forms(spark.read.parquet(f"{tmp_path}/pages"))
+    assert found.select(F.spark_partition_id()).distinct().count() > 1 and found.count() == 20000
+
+
 def test_a_parsed_tree_goes_without_the_collector():
     gc.collect()
     gc.disable()

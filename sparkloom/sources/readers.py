@@ -1,4 +1,5 @@
-"""Readers: pages, texts of unknown encoding, JSON of several shapes, CSV, settings. All go through Spark's file sources."""
+"""Readers: pages, texts of unknown encoding, JSON of several shapes, CSV, settings. They go through Spark's file
+sources, and through folders where files are many and small."""
 
 from __future__ import annotations
 
@@ -6,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.sources import folders
+
 
 def page_order(path: Column) -> Column:
     """The first number in a file's name, or 0: page_2 comes before page_10."""
@@ -32,19 +35,24 @@ def read_texts(spark: SparkSession, *globs: str) -> DataFrame:
     return spark.read.format("binaryFile").load(list(globs)).select("path", decoded(F.col("content")).alias("text"))
 
 
+LEVELS = ("*.md", "pages/*.md", "*/pages/*.md")
+
+
 def read_markdown_pages(spark: SparkSession, root: str, natural: bool = True) -> DataFrame:
     """Pages of a folder: doc (the folder's name), page, path, text. *.md, else pages/*.md, else */pages/*.md: the first level
-    that has any."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    files = hadoop.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    for level in ("*.md", "pages/*.md", "*/pages/*.md"):
-        found = files.globStatus(hadoop.Path(f"{root}/{level}"))
-        if found:
-            rows = read_texts(spark, f"{root}/{level}")
-            parts = F.split("path", "/")
-            doc = F.when(F.element_at(parts, -2) == "pages", F.element_at(parts, -3)).otherwise(F.element_at(parts, -2))
-            return rows.select(doc.alias("doc"), page_order(F.col("path")).alias("page") if natural else F.element_at(parts, -1).alias("page"), "path", "text")
-    return spark.createDataFrame([], f"doc string, page {'int' if natural else 'string'}, path string, text string")
+    that has any. Files are listed and read by the tasks, if Arrow knows the file system."""
+    root = folders.qualified(spark, root).rstrip("/")
+    if folders.known(root):
+        level = next((x for x in LEVELS[:-1] if not folders.found(spark, root, x).isEmpty()), LEVELS[-1])
+        rows = folders.contents(spark, root, level).select("path", decoded(F.col("content")).alias("text"))
+    else:
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        files = hadoop.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+        level = next((x for x in LEVELS if files.globStatus(hadoop.Path(f"{root}/{x}"))), None)
+        rows = read_texts(spark, f"{root}/{level}") if level else spark.createDataFrame([], "path string, text string")
+    parts = F.split("path", "/")
+    doc = F.when(F.element_at(parts, -2) == "pages", F.element_at(parts, -3)).otherwise(F.element_at(parts, -2))
+    return rows.select(doc.alias("doc"), page_order(F.col("path")).alias("page") if natural else F.element_at(parts, -1).alias("page"), "path", "text")
 
 
 def read_chunk_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:

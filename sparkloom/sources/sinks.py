@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators.mutations import upsert
 from sparkloom.operators.search import check_dimensions
+from sparkloom.session import spread
+from sparkloom.sources.folders import file_system
 
 STAGES = ("extract", "chunk", "enrich", "embed", "load")
 
@@ -80,20 +82,18 @@ def pipeline_totals(control: DataFrame) -> DataFrame:
 
 
 def write_named_files(rows: DataFrame, root: str) -> None:
-    """rows(name, content): a file for each row, under names that a writer of Spark's wouldn't give; written by the tasks. A
-    task that runs again writes the same files again."""
+    """rows(name, content): a file for each row, under names that a writer of Spark's wouldn't give; written by the tasks, among
+    which the files are dealt out. A task that runs again writes the same files again."""
 
     def put(part) -> None:
-        import pyarrow.fs as pafs  # noqa: PLC0415
-
-        fs, base = pafs.FileSystem.from_uri(root) if ":" in root else (pafs.LocalFileSystem(), root)
-        made = set()
+        fs, base = file_system(root)
         for r in part:
-            folder = f"{base}/{r.name}".rsplit("/", 1)[0]
-            if folder not in made:
-                fs.create_dir(folder, recursive=True)
-                made.add(folder)
-            with fs.open_output_stream(f"{base}/{r.name}") as out:
+            try:
+                out = fs.open_output_stream(f"{base}/{r.name}", compression=None)
+            except FileNotFoundError:
+                fs.create_dir(f"{base}/{r.name}".rsplit("/", 1)[0], recursive=True)
+                out = fs.open_output_stream(f"{base}/{r.name}", compression=None)
+            with out:
                 out.write(bytes(r.content))
 
-    rows.select("name", F.col("content").cast("binary").alias("content")).foreachPartition(put)
+    spread(rows.select("name", F.col("content").cast("binary").alias("content")), "name").foreachPartition(put)

@@ -5,6 +5,7 @@ import gc
 from pyspark.sql import functions as F
 
 from sparkloom.functions import html
+from sparkloom.sources import readers, sinks
 
 
 def test_a_single_row_group_is_parsed_by_several_tasks(spark, tmp_path):
@@ -24,3 +25,14 @@ def test_a_parsed_tree_goes_without_the_collector():
         assert len(gc.get_objects()) - before < 2000
     finally:
         gc.enable()
+
+
+def test_pages_are_read_by_tasks_at_each_level(spark, tmp_path):
+    rows = spark.range(50).selectExpr("concat('d', id div 5, '/pages/page_', id % 5, '.md') as name", "concat('t', id) as content")
+    sinks.write_named_files(rows, str(tmp_path / "in"))
+    deep = readers.read_markdown_pages(spark, str(tmp_path / "in"))
+    assert {(x.doc, x.page, x.text) for x in deep.collect()} == {(f"d{i // 5}", i % 5, f"t{i}") for i in range(50)}
+    assert "FileScan" not in deep._jdf.queryExecution().executedPlan().toString()
+    assert readers.read_markdown_pages(spark, str(tmp_path / "in/d1")).count() == 5
+    assert {x.doc for x in readers.read_markdown_pages(spark, str(tmp_path / "in/d1/pages"), natural=False).collect()} == {"d1"}
+    assert readers.read_markdown_pages(spark, str(tmp_path / "absent")).count() == 0

@@ -10,7 +10,7 @@ from sparkloom.functions import text as T
 from sparkloom.operators import chunking, enrichment, extraction, store
 from sparkloom.plans.registry import register
 from sparkloom.session import read_table, temporary_path
-from sparkloom.sources import sinks
+from sparkloom.sources import readers, sinks
 
 
 def _made(spark: SparkSession, sf_dir: str, table: str, key: str, expression: str, base: str = "https://shop.example.org/a/b") -> DataFrame:
@@ -418,7 +418,7 @@ def exported_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 10).alias("doc_id"), (F.col("p_partkey") % 10 + 1).cast("int").alias("page"), text.alias("text"))
     path = temporary_path(spark, "tables")
     sinks.write_named_files(extraction.table_files(extraction.table_runs(pages)), path)
-    rows = spark.read.option("header", True).option("escape", '"').schema("part long, name string, size string").csv(f"{path}/doc_*/tables")
+    rows = readers.read_csv_files(spark, path, "doc_*/tables/*.csv", "part long, name string, size string")
     return rows.select(F.col("part").alias("p_partkey"), "name", "size")
 
 

@@ -55,6 +55,16 @@ def read_markdown_pages(spark: SparkSession, root: str, natural: bool = True) ->
     return rows.select(doc.alias("doc"), page_order(F.col("path")).alias("page") if natural else F.element_at(parts, -1).alias("page"), "path", "text")
 
 
+def read_csv_files(spark: SparkSession, root: str, glob: str, schema: str) -> DataFrame:
+    """Rows of many small CSV files in UTF-8 with headers, whose quotes are doubled; blank lines are skipped. Files are listed and
+    read by the tasks, if Arrow knows the file system."""
+    root = folders.qualified(spark, root).rstrip("/")
+    if not folders.known(root):
+        return spark.read.option("header", True).option("escape", '"').schema(schema).csv(f"{root}/{glob}")
+    lines = folders.contents(spark, root, glob).select(F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("n", "line")).where((F.col("n") > 0) & (F.trim("line") != ""))
+    return lines.select(F.from_csv("line", schema, {"escape": '"'}).alias("r")).select("r.*")
+
+
 def read_chunk_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Chunks of files that hold a list of them, an object with a list under 'chunks', or one chunk (an object with one
     of the fields at least); other shapes give none."""

@@ -27,6 +27,18 @@ def test_a_parsed_tree_goes_without_the_collector():
         gc.enable()
 
 
+def test_files_are_listed_by_tasks(spark, tmp_path):
+    """The driver holds no list of the files: their plan has no file scan."""
+    rows = spark.range(600).selectExpr("concat('doc_', id div 4, '/tables/t ', id, '.csv') as name", "concat('a,b\n', id, ',\"x, \"\"', id, '\"\"\"\n\n', id, ',é%20\n') as content").coalesce(1)
+    sinks.write_named_files(rows, f"file://{tmp_path}/out it")
+    (tmp_path / "out it/doc_1/tables/_hidden.csv").write_text("a,b\n7,7\n")
+    (tmp_path / "out it/doc_2/tables/none.txt").write_text("a,b\n7,7\n")
+    (tmp_path / "out it/other").mkdir()
+    found = readers.read_csv_files(spark, f"{tmp_path}/out it", "doc_*/tables/*.csv", "a long, b string")
+    assert sorted(map(tuple, found.collect())) == sorted(x for i in range(600) for x in ((i, f'x, "{i}"'), (i, "é%20")))
+    assert "FileScan" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pages_are_read_by_tasks_at_each_level(spark, tmp_path):
     rows = spark.range(50).selectExpr("concat('d', id div 5, '/pages/page_', id % 5, '.md') as name", "concat('t', id) as content")
     sinks.write_named_files(rows, str(tmp_path / "in"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,28 +42,31 @@ class Life(StatefulProcessor):
         self.handle, self.state = handle, handle.getValueState("state", STATE)
 
     def _read(self) -> list:
-        return list(self.state.get()) if self.state.exists() else [None, None, 0, 0, 0]
+        return list(self.state.get() or (None, None, 0, 0, 0))
 
     def _audit(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["n", "change", "accepted", "status", "stage", "retries", "us"])
-        out.insert(0, "document_id", key[0])
-        out["at"] = pd.to_datetime(out.pop("us"), unit="us")
-        return out
-
-    def _schedule(self, now: list) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if now[0] is None:
-            self.state.update((None, None, 0, 0, now[4]))
-            return
-        self.state.update(tuple(now))
-        self.handle.registerTimer(-(-(now[3] + self.ttl_us) // 1000))
+        n, change, accepted, status, stage, retries, us = zip(*rows, strict=True)
+        return pd.DataFrame({"document_id": [key[0]] * len(n), "n": n, "change": change, "accepted": accepted, "status": status, "stage": stage, "retries": retries, "at": np.array(us, "datetime64[us]")})
+
+    def _due(self, now: list) -> int | None:
+        """The time of the document's timer; there is one while it has a state."""
+        return None if now[0] is None else -(-(now[3] + self.ttl_us) // 1000)
+
+    def _schedule(self, was: int | None, now: list) -> None:
+        due = self._due(now)
+        self.state.update((None, None, 0, 0, now[4]) if due is None else tuple(now))
+        if was != due:
+            if was is not None:
+                self.handle.deleteTimer(was)
+            if due is not None:
+                self.handle.registerTimer(due)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows))
-        frame = frame.sort_values(["us", "change_id"])
+        changes = [x for frame in rows for x in zip(*[frame[c].tolist() for c in ("us", "change_id", "change", "stage")], strict=True)]
+        changes.sort(key=lambda x: (x[0], x[1] != x[1], x[1]))  # one without an id comes last
         now, out = self._read(), []
-        for change, stage, us in zip(frame["change"], frame["stage"], frame["us"].astype("int64"), strict=True):
+        was = self._due(now)
+        for us, _, change, stage in changes:
             if now[0] is not None and us - now[3] > self.ttl_us:
                 out.append((now[4] + 1, "expired", True, None, None, 0, now[3] + self.ttl_us))
                 now = [None, None, 0, 0, now[4] + 1]
@@ -72,7 +76,7 @@ class Life(StatefulProcessor):
                 now = [after, stage if change == "stage" else now[1], now[2] + (change == "retry"), us, now[4]]
             now[4] += 1
             out.append((now[4], change, bool(accepted), now[0], now[1], now[2], us))
-        self._schedule(now)
+        self._schedule(was, now)
         yield self._audit(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

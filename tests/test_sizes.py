@@ -2,10 +2,12 @@
 
 import gc
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sparkloom.functions import html
 from sparkloom.sources import readers, sinks
+from sparkloom.streaming import documents
 
 
 def test_a_single_row_group_is_parsed_by_several_tasks(spark, tmp_path):
@@ -48,3 +50,54 @@ def test_pages_are_read_by_tasks_at_each_level(spark, tmp_path):
     assert readers.read_markdown_pages(spark, str(tmp_path / "in/d1")).count() == 5
     assert {x.doc for x in readers.read_markdown_pages(spark, str(tmp_path / "in/d1/pages"), natural=False).collect()} == {"d1"}
     assert readers.read_markdown_pages(spark, str(tmp_path / "absent")).count() == 0
+
+
+class Handle:
+    """A document's state and timers, with the calls that are made to them."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def exists(self):
+        self.calls.append("exists")
+        return self.value is not None
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def listTimers(self):
+        self.calls.append("list")
+        return iter(sorted(self.timers))
+
+    def registerTimer(self, at):
+        self.calls.append("register")
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls.append("delete")
+        self.timers.remove(at)
+
+
+def test_a_document_asks_its_store_at_most_four_times_a_batch():
+    life, handle, n = documents.Life(10), Handle(), []
+    life.init(handle)
+
+    def batch(*changes):
+        handle.calls.clear()
+        rows = pd.DataFrame(changes, columns=["us", "change_id", "change"]).assign(stage=None)
+        n.extend(x for out in life.handleInputRows(("d",), iter([rows]), None) for x in zip(out["change"], out["accepted"], out["status"], strict=True))
+        return len(handle.calls), sorted(handle.timers)
+
+    assert batch((2_000_001, 2, "claimed"), (2_000_001, 1, "created")) == (3, [12001])
+    assert batch((3_000_000, 3, "completed")) == (4, [13000])
+    assert batch((3_000_000, 4, "retry")) == (2, [13000])
+    assert batch((14_000_000, 5, "failed")) == (3, [])
+    assert n == [("created", True, "PENDING"), ("claimed", True, "IN_PROGRESS"), ("completed", True, "COMPLETED"), ("retry", False, "COMPLETED"), ("expired", True, None), ("failed", False, None)]
